@@ -54,6 +54,8 @@ _OF = {s: re.compile(f"[{a}]") for s, a in ALPHABETS.items()}
 _FOREIGN = re.compile(f"[{ALPHABETS[CYRILLIC]}{ALPHABETS[GREEK]}]")
 _PLAIN = re.compile(f"[{ALPHABETS[LATIN]}]")
 _MIXABLE = re.compile("|".join(f"[{ALPHABETS[a]}][{MARKS}0-9]*[{ALPHABETS[b]}]" for a in ALPHABETS for b in ALPHABETS if a != b))
+#: A word that another alphabet could spell whole.
+_WHOLE = re.compile("|".join(rf"(?<!\w)[{''.join({k for t in TO_SCRIPT.values() for k in t if of.match(k)})}]{{3,}}(?!\w)" for of in _OF.values()))
 
 
 def script(letter: str) -> str | None:
@@ -109,9 +111,10 @@ def unified(text: str) -> str:
     for kind in ("full_width", "joined_letters"):
         text = FINDINGS[kind].sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
     text = unicodedata.normalize("NFC", text)
-    if _FOREIGN.search(text) and _PLAIN.search(text):
-        usual = Counter(s for c in text if (s := script(c))).most_common(1)[0][0]
-        text = TOKEN.sub(lambda m: respelled(m[0], usual), text)
+    whole = _FOREIGN.search(text) and _PLAIN.search(text) and _WHOLE.search(text)
+    if whole or _MIXABLE.search(text):
+        usual = max(TO_SCRIPT, key=lambda s: len(_OF[s].findall(text)))
+        text = TOKEN.sub(lambda m: respelled(m[0], usual) if mixed(m[0]) or _WHOLE.fullmatch(m[0]) else m[0], text)
     return text
 
 
