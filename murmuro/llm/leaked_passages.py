@@ -101,11 +101,16 @@ class Pieces:
             first -= 1
         return first, last
 
-    def near(self, doc: str, begin: int, item: int, k: int) -> int:
-        """The least distance of any window of the run's length that holds the piece, or budget + 1."""
+    def near(self, doc: str, begin: int, item: int, k: int, unbroken: tuple[int, int]) -> int:
+        """The least distance of any window of the run's length that holds the piece, or budget + 1.
+
+        A window that reaches beyond the unbroken words on more sides than the budget has edits can't be near.
+        """
         joined, starts, parts = self.items[item]
         best = self.budget + 1
         for first in range(max(0, k + self.step - self.run), min(k, len(parts) - self.run) + 1):
+            if (first < unbroken[0]) + (first + self.run > unbroken[1]) > self.budget:
+                continue
             window = joined[starts[first] : starts[first + self.run]]
             left = begin - (starts[k] - starts[first]) - self.budget
             best = min(best, myers(window, doc[max(0, left) : left + len(window) + 2 * self.budget], self.budget))
@@ -132,7 +137,7 @@ class Pieces:
                     words = last - first
                     near = 0 if words >= self.run else self.budget + 1
                     if near and self.budget and out.get(item, (0, near))[1]:
-                        near = self.near(doc, begin, item, k)
+                        near = self.near(doc, begin, item, k, (first, last))
                     if near <= self.budget:
                         old = out.get(item, (0, near))
                         out[item] = max(old[0], words), min(old[1], near)
