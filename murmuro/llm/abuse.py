@@ -30,7 +30,7 @@ from murmuro.llm.lookalikes import unified
 BITS = 20
 _ID = re.compile(r"![0-9a-fA-F]{6,10}\b|\b(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{4}\b")
 _NUMBER = re.compile(r"(?<![^\W\d_])[0-9]+(?:[.:,/][0-9]+)*(?![^\W\d_@$])")
-_APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_\-·]{1,2}){2,}[^\W\d_](?![^\W_])")
+_APART = re.compile(r"(?<![^\W_])(?<![^\W_]['’])[^\W\d_]([ .*_\-·]{1,2})[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
 _STRETCH = re.compile(r"(.)\1+")
 _INSIDE = re.compile(r"(?<=[^\W\d_])[*.·_\-](?=[^\W\d_])")
 # Digits and signs that stand for letters.
@@ -39,14 +39,31 @@ _LEET_WORD = re.compile(r"(?=\S*[^\W\d_])(?=\S*[0-9@$!|])[^\W_@$!|]*[\w@$!|]+")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+|[§#№]")
 
 
+def _chunk(chunk: str) -> tuple[str, ...]:
+    """The undisguised words of a run of characters without blanks."""
+    if chunk.isalpha() and chunk < "぀":
+        return (_STRETCH.sub(r"\1", chunk.lower()),)
+    text = _NUMBER.sub(" # ", _ID.sub(" § ", chunk).lower())
+    text = _INSIDE.sub("", text.replace("'", "").replace("’", ""))
+    text = _LEET_WORD.sub(lambda m: m[0].rstrip("!|").translate(LEET), text)
+    return tuple(_STRETCH.sub(r"\1", w) for w in _WORD.findall(text))
+
+
+_KNOWN: dict[str, tuple[str, ...]] = {}
+
+
 def tokens(text: str) -> list[str]:
     """The words of ``text`` without disguise."""
-    text = _ID.sub(" § ", unified(text))
-    text = _NUMBER.sub(" # ", text.lower())
-    text = _APART.sub(lambda m: re.sub(r"[\W_]", "", m[0]), text)
-    text = _INSIDE.sub("", text.replace("'", "").replace("’", "")) if "*" in text or "." in text or "'" in text or "’" in text else text
-    text = _LEET_WORD.sub(lambda m: m[0].rstrip("!|").translate(LEET), text)
-    return [_STRETCH.sub(r"\1", w) for w in _WORD.findall(text)]
+    text = _APART.sub(lambda m: re.sub(r"[\W_]", "", m[0]), unified(text))
+    if len(_KNOWN) > 200_000:
+        _KNOWN.clear()
+    out: list[str] = []
+    for chunk in text.split():
+        known = _KNOWN.get(chunk)
+        if known is None:
+            known = _KNOWN[chunk] = _chunk(chunk)
+        out += known
+    return out
 
 
 def features(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +85,8 @@ def features(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
             out.append((mixed >> np.uint64(64 - BITS)).astype(np.int64)[real])
             rows.append(text[real])
     row, slot = np.concatenate(rows), np.concatenate(out)
-    pairs = np.unique(row << BITS | slot)  # presence, not counts
+    pairs = np.sort(row << BITS | slot)
+    pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] if len(pairs) else pairs  # presence, not counts
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
