@@ -32,7 +32,7 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: cuts lineage and survives a lost executor."""
     path = fresh_dir(df.sparkSession, label)
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
