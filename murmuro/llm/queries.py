@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ("form_queries", "overlap_queries", "residue_queries", "abuse_queries", "language_queries", "personal_queries")
+_PARTS = ("form_queries", "overlap_queries", "residue_queries", "abuse_queries", "language_queries", "personal_queries", "packing_queries")
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _part in _PARTS:
