@@ -76,12 +76,16 @@ class Index:
         return np.bincount(self.docs[spots], self.weights[spots], len(self.terms))
 
 
-def pack(sizes: np.ndarray, terms: list[np.ndarray], capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The container of each item and the tokens used in each container."""
+def pack(sizes: np.ndarray, terms: list[np.ndarray], capacity: int, keep_small: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """The container of each item and the tokens used in each container.
+
+    The smallest ``keep_small`` of the items never come in as neighbours; they close the last gaps.
+    """
     index = Index(terms, sizes)
     place = np.full(len(sizes), -1)
     free = sorted((int(s), i) for i, s in enumerate(sizes))
     used: list[int] = []
+    small = float(np.quantile(sizes, keep_small)) if len(sizes) else 0.0
     while free:
         size, seed = free.pop()
         box, room = len(used), capacity - size
@@ -91,7 +95,7 @@ def pack(sizes: np.ndarray, terms: list[np.ndarray], capacity: int) -> tuple[np.
             for i in np.argsort(-score, kind="stable"):
                 if score[i] <= 0 or not free or free[0][0] > room:
                     break
-                if place[i] < 0 and sizes[i] <= room:
+                if place[i] < 0 and small <= sizes[i] <= room:
                     place[i] = box
                     room -= int(sizes[i])
                     del free[bisect_left(free, (int(sizes[i]), int(i)))]
