@@ -102,3 +102,29 @@ def decode(rows: DataFrame, model: tuple[list[tuple], list[str]], kind: str, val
             yield pd.DataFrame({"value": frame["value"], "text": [t for t, _ in done], "error": [e for _, e in done]})
 
     return rows.select(F.col(value).alias("value")).mapInPandas(run, "value STRING, text STRING, error STRING")
+
+
+def base91_checked(rows: DataFrame, data: str) -> DataFrame:
+    """``rows`` with the base91 of ``data`` and whether it decodes to the same bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lines = [None if d is None else base91.encode(d) for d in frame[data]]
+            yield frame.drop(columns=data).assign(b91=lines, same=[d is None or base91.decode(l) == bytes(d) for d, l in zip(frame[data], lines)])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != data)
+    return rows.mapInPandas(run, f"{kept}, b91 STRING, same BOOLEAN")
+
+
+def cumulative(contexts: DataFrame, model: tuple[list[tuple], list[str]], ctx: str = "ctx", escapes: bool = False) -> DataFrame:
+    """``(ctx, idx, ch, lo, hi)``: the interval of every symbol after each context; the intervals of a context cover 2^20."""
+    sent = contexts.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built = Model(*sent.value)
+        for frame in frames:
+            for c in frame["ctx"]:
+                bounds = built.bounds(c, escapes)
+                yield pd.DataFrame({"ctx": c, "idx": range(len(built.vocab)), "ch": built.vocab, "lo": bounds[:-1], "hi": bounds[1:]})
+
+    return contexts.select(ctx if ctx == "ctx" else contexts[ctx].alias("ctx")).mapInPandas(run, "ctx STRING, idx INT, ch STRING, lo BIGINT, hi BIGINT")

@@ -302,6 +302,36 @@ def weighted_bpc(spark: SparkSession, folder: str) -> DataFrame:
     return per.agg((F.sum(F.col("n") * 8 * F.col("b") / F.col("c")) / F.sum("n")).alias("by_message"), (8 * F.sum("b") / F.sum("c")).alias("by_char"), F.every("ok").alias("all_ok"))
 
 
+def bpc_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bits per character per language and over all characters, binary and text channel."""
+    rows = _encoded(spark, folder).where("text <> ''")
+    chars = F.sum(F.length("text"))
+    return rows.rollup("lang").agg(F.count("*").alias("n"), (8 * F.sum("comp_len") / chars).alias("bpc"), (8 * F.sum("line_len") / chars).alias("line_bpc"), F.grouping("lang").cast("int").alias("is_total"))
+
+
+def ratio_by_length(spark: SparkSession, folder: str) -> DataFrame:
+    """Share saved by length of the message in bytes, beside that of zlib."""
+    size = F.col("utf8_len")
+    bucket = F.when(size <= 10, "1-10").when(size <= 20, "11-20").when(size <= 50, "21-50").when(size <= 100, "51-100").when(size <= 200, "101-200").otherwise("201+")
+    share = lambda c: (1 - F.sum(c) / F.sum("utf8_len")) * 100
+    return _encoded(spark, folder).where("text <> ''").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), share("comp_len").alias("ratio"), share("line_len").alias("line_ratio"), share("zlib_len").alias("zlib_ratio"))
+
+
+def compress_text_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The text-channel line of every row of ``test`` and whether it comes back."""
+    return _encoded(spark, folder).select("test_id", "line", "line_len", "line_ok", "error")
+
+
+def base91_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """UTF-8 of every text of ``collected`` through base91 and back."""
+    return channel.base91_checked(table(spark, folder, "collected").where("text IS NOT NULL").select("msg_id", F.encode("text", "UTF-8").alias("data")), "data")
+
+
+def cdf_top_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """The cumulative table of the hundred most frequent contexts of order 3: a top-k report."""
+    return channel.cumulative(ngram_top_contexts(spark, folder), channel.publish(_train(spark, folder)))
+
+
 def decode_report(spark: SparkSession, folder: str) -> DataFrame:
     """Payloads of ``test`` in the web form decoded again."""
     model = channel.publish(_train(spark, folder))
@@ -324,7 +354,7 @@ QUERIES = {
         ngram_counts_o3, ngram_totals, ngram_top_contexts, ngram_weighted, prune_contexts, ngram_model_sizes, vocab_index, script_index, cumulative_symbols, lang_detect_v0, lang_detect_v1, lang_detect_v2,
         script_histogram, msg_valid_v1, msg_valid_v2, dedup_first, dedup_two_key, dedup_window_events, split_topn, split_counts, split_90_10, anti_train_test, synthetic_not_real, union_sources, language_union,
         intersect_overlap, group_at_least, region_hint_join, codepoint_block_range, collection_stats_rollup, raw_stats, status_counters, length_buckets, message_fields, compress_roundtrip, bpc_by_language,
-        weighted_bpc, decode_report, aes_ctr_roundtrip,
+        weighted_bpc, bpc_rollup, ratio_by_length, compress_text_roundtrip, base91_roundtrip, cdf_top_contexts, decode_report, aes_ctr_roundtrip,
     )
 }
 

@@ -181,3 +181,25 @@ def test_stream_window_matches_batch(spark, data, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").select("digest", F.unix_seconds("ts").alias("stored_at"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, core.dedup_window_events(spark, data).collect()))
+
+
+def test_observed_counters(spark):
+    from pyspark.sql import Observation
+
+    from murmuro.streaming import stats
+
+    seen = Observation("seen")
+    df = spark.createDataFrame([("hello there",), (None,), ("",), ("12345",)], "text STRING")
+    stats.observed(df, seen).count()
+    assert seen.get == {"rows": 4, "no_text": 2, "filtered": 1, "valid": 1}
+
+
+def test_cumulative_tables_cover_the_scale(spark, data):
+    rows = core.cdf_top_contexts(spark, data).groupBy("ctx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(F.col("hi") - F.col("lo")).alias("width")).collect()
+    assert len(rows) == 100 and all((r["lo"], r["hi"], r["width"]) == (0, 1 << 20, 1 << 20) for r in rows)
+
+
+def test_codec_queries(spark, data):
+    assert core.base91_roundtrip(spark, data).where("NOT same").count() == 0
+    assert core.compress_roundtrip(spark, data).where("error IS NULL AND NOT (roundtrip_ok AND line_ok)").count() == 0
+    assert core.aes_ctr_roundtrip(spark, data).where("NOT same").count() == 0
