@@ -92,13 +92,14 @@ def pack(sizes: np.ndarray, terms: list[np.ndarray], capacity: int, keep_small:
         place[seed] = box
         if free and free[0][0] <= room:
             score = index.scores(seed)
-            for i in np.argsort(-score, kind="stable"):
-                if score[i] <= 0 or not free or free[0][0] > room:
+            near = np.flatnonzero((place < 0) & (sizes >= small) & (sizes <= room) & (score > 0))
+            for i in near[np.argsort(-score[near], kind="stable")].tolist():
+                if room < small:
                     break
-                if place[i] < 0 and small <= sizes[i] <= room:
+                if sizes[i] <= room:
                     place[i] = box
                     room -= int(sizes[i])
-                    del free[bisect_left(free, (int(sizes[i]), int(i)))]
+                    del free[bisect_left(free, (int(sizes[i]), i))]
         while free and free[0][0] <= room:
             s, i = free.pop(bisect_left(free, (room + 1, -1)) - 1)
             place[i] = box
