@@ -51,7 +51,8 @@ ADDRESS = re.compile(
     "(?i)" + "|".join((
         rf"(?<!\w){_FLAT}\d{{1,4}}[a-z]?,? {_NAMED} {_STREET_EN}(?!\w)",
         rf"(?<!\w)\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|impasse|chemin|place|boulevard|allée|quai|route|square|cours)(?: (?:de|du|des|de la|d'))? ?{_NAMED}",
-        rf"(?<!\w)(?:calle|plaza|avenida|avda\.|paseo|camino|ronda|travesía|rua|travessa|largo|praça|alameda|beco|estrada)(?: (?:de|del|da|do|dos|das))? {_NAMED},? (?:n[.ºo]+ ?)?\d{{1,4}}[a-z]?(?!\w)",
+        rf"(?<!\w)(?:calle|plaza|avenida|avda\.|paseo|camino|ronda|travesía|rua|travessa|largo|praça|alameda|beco|estrada|c/|av\.|avda\.|pza\.|r\.|tv\.)(?: (?:de|del|da|do|dos|das))? {_NAMED},? (?:n[.ºo]+ ?)?\d{{1,4}}[a-z]?(?!\w)",
+        rf"(?<!\w)(?-i:(?:Am|An der|Auf dem|Im|Zum|Zur|Aan de|Op de) {_CAP})(?:{_CAP}|{_LOW})+ \d{{1,4}}[a-z]?(?![\w.:])",
         rf"(?<!\w)(?:{_CAP}|{_LOW})+(?:[ -]?{_STREET_DE}|{_STREET_NL}) ?\d{{1,4}} ?[a-z]?(?:-\d+)?(?!\w)",
         rf"(?<!\w)(?:ul\.|al\.|os\.|pl\.|ulica|aleja|osiedle) {_NAMED},? \d{{1,4}}[a-z]?(?:/\d+)?(?!\w)",
         rf"(?<!\w)(?:ул\.|улица|пер\.|переулок|проспект|просп\.|пр\.|бульвар|площадь|шоссе|вул\.|вулиця|пров\.|провулок|просп\.|бульв\.) ?{_NAMED},? (?:д\. ?|дом |буд\. ?|будинок )?\d{{1,4}}[а-я]?(?:/\d+)?(?!\w)",
@@ -96,14 +97,18 @@ for _cp in range(0x3000):
         _TABLE[_cp] = 4 if chr(_p).islower() else 5
 LETTERS, PAD = 128 + 0x60, 0
 _HIDDEN = re.compile(f"[{INVISIBLE}‍]")
-_ODD_SPACE = str.maketrans({c: " " for c in "                　"} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {"’": "'", "ʼ": "'"})
+_ODD_SPACE = str.maketrans({chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {"’": "'", "ʼ": "'"})
+
+
+_ODD = re.compile(f"[{''.join(map(chr, _ODD_SPACE))}]")
 
 
 def cleaned(text: str) -> tuple[str, np.ndarray | None]:
     """``text`` without invisible characters and with plain forms; and where each character stood, None if nothing moved."""
     if text.isascii():
         return text, None
-    text = text.translate(_ODD_SPACE)
+    if _ODD.search(text):
+        text = text.translate(_ODD_SPACE)
     if _MIXABLE.search(text):
         usual = CYRILLIC if sum("Ѐ" <= c <= "ӿ" for c in text) * 2 > sum(c.isalpha() for c in text) else LATIN
         text = TOKEN.sub(lambda m: r if mixed(m[0]) and len(r := respelled(m[0], usual)) == len(m[0]) else m[0], text)
@@ -125,7 +130,7 @@ def cleaned(text: str) -> tuple[str, np.ndarray | None]:
 # Cheap signs without which the costlier patterns can't match; lower case.
 _EMAIL_SIGNS = ("@", "(a", "[a", " at ")
 _ADDRESS_SIGNS = (
-    "street|st |rd|road|lane|close|ave|drive|court|way|terrace|crescent|gardens|grove|hill|row|square|place|mews|rue|impasse|chemin|boulevard|allée|quai|route|cours|calle|plaza|avda|paseo|camino|ronda|travesía|rua|travessa|largo|praça|"
+    "c/|av.|am |an der|auf dem|im |zum |zur |aan de|op de|r. |tv.|pza.|street|st |rd|road|lane|close|ave|drive|court|way|terrace|crescent|gardens|grove|hill|row|square|place|mews|rue|impasse|chemin|boulevard|allée|quai|route|cours|calle|plaza|avda|paseo|camino|ronda|travesía|rua|travessa|largo|praça|"
     "alameda|beco|estrada|straße|strasse|str.|gasse|weg|allee|platz|ring|ufer|damm|pfad|straat|laan|gracht|plein|kade|dreef|singel|ul.|al.|os.|pl.|ulica|aleja|osiedle|ул|пер|просп|пр.|бульв|площад|шоссе|вул|пров|cad|sok|mah|bulv"
 ).split("|")
 _NAME_SIGNS = [re.sub(r"[^\w ].*", "", w.replace("\\b", "")) for w in BEFORE_NAME.pattern.split("(?:")[1].split(")")[0].split("|")]
@@ -214,7 +219,30 @@ class Tagger:
         return emitted.transpose(1, 0, 2), [both, tape, out]
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
-        return self._forward(codes, False)[0]
+        """Emissions of windows, as in training; features come first, so every step runs over long contiguous rows."""
+        n, size = codes.shape
+        d = self.h
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), d)[:, None]  # one tanh serves all gates
+        x = np.ascontiguousarray(self.w["x"].transpose(0, 2, 1)) * half
+        u = np.ascontiguousarray(self.w["u"].transpose(0, 2, 1)) * half * np.float32(0.5)  # the states below are doubled
+        h, c, tc = (np.zeros((2, d, n), np.float32) for _ in range(3))
+        out = np.empty((2, size, d, n), np.float32)
+        ahead = np.ascontiguousarray(codes.T)
+        for t in range(size):
+            g = np.matmul(u, h)
+            g[0] += x[0].take(ahead[t], axis=1)
+            g[1] += x[1].take(ahead[size - 1 - t], axis=1)
+            np.tanh(g, out=g)
+            gates = g[:, : 3 * d]
+            gates += 1
+            c *= gates[:, d : 2 * d]
+            c += gates[:, :d] * g[:, 3 * d :]
+            c *= 0.5
+            np.tanh(c, out=tc)
+            h = gates[:, 2 * d :] * tc
+            out[0, t], out[1, size - 1 - t] = h[0], h[1]
+        o = self.w["o"].transpose(0, 2, 1) * np.float32(0.5)
+        return (np.matmul(o[0], out[0]) + np.matmul(o[1], out[1]) + self.w["b"][:, None]).transpose(2, 0, 1)
 
     def _gradients(self, codes: np.ndarray, tags: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         e, (both, tape, out) = self._forward(codes, True)
@@ -259,7 +287,7 @@ class Tagger:
             dc = dc * f
         return loss, grads | {"x": gx, "u": gu}
 
-    def fit(self, codes: np.ndarray, tags: np.ndarray, real: np.ndarray, passes: int = 12, batch: int = 128, rate: float = 0.012, seed: int = 5) -> Tagger:
+    def fit(self, codes: np.ndarray, tags: np.ndarray, real: np.ndarray, passes: int = 9, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Tagger:
         """Adam over shuffled windows."""
         rng, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -312,7 +340,7 @@ class Tagger:
 _BLEND = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1.0).astype(np.float32)
 
 
-def tagged(texts: list[str], model: Tagger, block: int = 2000, lean: float = 1.0) -> list[list[tuple[str, int, int]]]:
+def tagged(texts: list[str], model: Tagger, block: int = 2000, lean: float = 0.7) -> list[list[tuple[str, int, int]]]:
     """The decoded spans of every text; ``lean`` is taken from the score of no item, as the check that follows is strict."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
@@ -321,24 +349,34 @@ def tagged(texts: list[str], model: Tagger, block: int = 2000, lean: float = 1.0
         rows = max(1, min(block, 600_000 // len(texts[order[at]])))
         part = order[at : at + rows]
         at += rows
-        codes = [_codes(texts[i]) for i in part]
-        sizes = np.array([len(c) for c in codes], np.int64)
-        starts = [list(range(0, max(1, n - (WINDOW - STEP)), STEP)) for n in sizes]
-        windows = np.zeros((sum(map(len, starts)), WINDOW), np.uint8)
-        where = [(r, s) for r, ss in enumerate(starts) for s in ss]
-        for w, (r, s) in enumerate(where):
-            piece = codes[r][s : s + WINDOW]
-            windows[w, : len(piece)] = piece
-        emitted = np.concatenate([model.emissions(windows[b : b + 2048]) for b in range(0, len(windows), 2048)])
+        sizes = np.array([len(texts[i]) for i in part], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        letters = _codes("".join(texts[i] for i in part))
+        counts = np.maximum(1, -(-(sizes - (WINDOW - STEP)) // STEP))
+        row = np.repeat(np.arange(len(part)), counts)
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        spot = (turn * STEP)[:, None] + np.arange(WINDOW)
+        inside = spot < sizes[row][:, None]
+        windows = np.where(inside, letters[np.minimum(begins[row][:, None] + spot, len(letters) - 1)], PAD).astype(np.uint8)
+        lengths = inside.sum(axis=1)
+        emitted = np.zeros((len(windows), WINDOW, len(KINDS) + 1), np.float32)
+        by_length = np.argsort(-lengths, kind="stable")
+        for b in range(0, len(windows), 768):
+            some = by_length[b : b + 768]
+            width = lengths[some[0]]  # no more padding than the longest window of the batch needs
+            emitted[some, :width] = model.emissions(windows[some, :width])
         k = emitted.shape[2]
-        blend, weight = np.zeros((len(part), sizes[0], k), np.float32), np.zeros((len(part), sizes[0], 1), np.float32)
-        for w, (r, s) in enumerate(where):
-            end = min(s + WINDOW, sizes[r])
-            blend[r, s:end] += emitted[w, : end - s] * _BLEND[: end - s, None]
-            weight[r, s:end] += _BLEND[: end - s, None]
+        most = int(sizes[0])
+        blend, weight = np.zeros((len(part) * most, k), np.float32), np.zeros((len(part) * most, 1), np.float32)
+        for parity in (0, 1):  # windows of one parity don't overlap
+            mine = (turn % 2 == parity)[:, None] & inside
+            at_flat = (row[:, None] * most + spot)[mine]
+            share = np.broadcast_to(_BLEND, mine.shape)[mine][:, None]
+            blend[at_flat] += emitted[mine] * share
+            weight[at_flat] += share
         blend /= np.maximum(weight, 1e-6)
-        blend[..., 0] -= lean
-        path = model.paths(blend, sizes)
+        blend[:, 0] -= lean
+        path = model.paths(blend.reshape(len(part), most, k), sizes)
         for r, i in enumerate(part):
             tags = path[r, : sizes[r]]
             if not tags.any():
@@ -391,12 +429,14 @@ def learned(texts: list[str], first_names: frozenset[str]) -> Tagger:
 def _sample(rows: DataFrame, text: str, most: int) -> list[str]:
     """At most ``most`` texts: three quarters that may hold an item by sight, the rest any."""
     plain = rows.select(F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
+    total = max(1, plain.count())
+    plain = plain.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, 8 * most / total) * (1 << 30)))
     likely = plain.where(F.col("text").rlike(r"@|\(at\)|\[at\]|555|(?i)passport|SSN|ID card|паспорт|СНИЛС|серия и номер|Ausweis|Steuer-ID|Reisepass|DNI|pasaport|identit|sécu|cidad|PESEL|dowodu|BSN|paspoort|kimlik|ІПН|name is|ask for|has the key|speaking|зовут|старший|ключи|на связи|звати|ключі|heiße|frag nach|Schlüssel|spricht|appelle|demande|la clé|me llamo|pregunta|llave|habla|chamo|pergunta|chave|nazywam|mówi|klucz|ik heet|sleutel|benim|anahtar|Street|Lane|Close| Rd|Avenue|straße|str\.|gasse|impasse|chemin|avenue|rue |Plaza|Calle|Rua|Travessa|ul\.|al\.|улица|ул\.|пер\.|проспект|вул|straat|laan|weg |Cad"))
     order = F.xxhash64("text")
     return [r["text"] for r in likely.orderBy(order).limit(most * 3 // 4).collect()] + [r["text"] for r in plain.orderBy(order).limit(most // 4).collect()]
 
 
-def found(rows: DataFrame, names: DataFrame, row_id: str, text: str, first_name: str, *, sample: int = 3000) -> DataFrame:
+def found(rows: DataFrame, names: DataFrame, row_id: str, text: str, first_name: str, *, sample: int = 4000) -> DataFrame:
     """``(row_id, items, masked)`` for every row; ``items``: kind, 1-based start, length in the original text."""
     known = frozenset(r[0].casefold() for r in names.select(first_name).where(F.col(first_name).isNotNull()).limit(100_000).collect())
     model = learned(_sample(rows, text, sample), known)
