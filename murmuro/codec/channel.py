@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from murmuro.codec import base91
 from murmuro.codec.coder import Model, _coded, _decoded, compress, decompress, lossy
 from murmuro.operators import ngram
+from murmuro.session import stored
 
 # Markers of the text channel, the most bytes of a radio packet, the prefix of the web form.
 EMPTY, PLAIN, ESCAPED = '!', '"', "#"
@@ -34,16 +35,20 @@ def decompress_text(line: str, model: Model) -> str:
 
 
 def publish(texts: DataFrame, text: str = "text", *, threshold: int = 2, most_rows: int = 400_000) -> tuple[list[tuple], list[str]]:
-    """A model small enough to send to executors: the prune threshold doubles until at most ``most_rows`` counts remain."""
-    counted = ngram.counts(texts, text).cache()
-    while True:
-        kept = ngram.pruned(counted, threshold)
-        if kept.count() <= most_rows or threshold > 1 << 40:
-            break
-        threshold *= 2
-    rows = [tuple(r) for r in kept.limit(most_rows).select("n", "ctx", "ch", "cnt").collect()]
-    counted.unpersist()
-    return rows, [r["ch"] for r in ngram.vocabulary(texts, text).select("ch").collect()]
+    """A model small enough to send to executors: the prune threshold doubles until at most ``most_rows`` counts remain.
+
+    The size at every threshold comes from one aggregate over the contexts;
+    contexts below the first threshold are never written.
+    """
+    counted = ngram.counts(texts, text)
+    by_ctx = counted.groupBy("n", "ctx").agg(F.sum("cnt").alias("total"), F.collect_list(F.struct("ch", "cnt")).alias("next"))
+    held = stored(by_ctx.where((F.col("n") < 3) | (F.col("total") >= threshold)), "model-contexts")
+    steps = [threshold << k for k in range(40)]
+    passes = lambda t: (F.col("n") < 3) | (F.col("total") >= t)
+    sizes = held.agg(*[F.coalesce(F.sum(F.when(passes(t), F.size("next"))), F.lit(0)).alias(str(t)) for t in steps]).first()
+    chosen = next((t for t in steps if sizes[str(t)] <= most_rows), steps[-1])
+    rows = held.where(passes(chosen)).select("n", "ctx", F.explode("next").alias("x")).select("n", "ctx", "x.ch", "x.cnt").limit(most_rows).collect()
+    return [tuple(r) for r in rows], [r["ch"] for r in ngram.vocabulary(texts, text).select("ch").collect()]
 
 
 REPORT = (
