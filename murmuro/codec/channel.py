@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmuro.codec import base91
-from murmuro.codec.coder import Model, _coded, _decoded, compress, decompress, lossy
+from murmuro.codec.coder import Model, _coded, _decoded, compress, decompress, ideal_bits, lossy
 from murmuro.operators import ngram
 from murmuro.session import stored
 
@@ -133,3 +133,18 @@ def cumulative(contexts: DataFrame, model: tuple[list[tuple], list[str]], ctx: s
                 yield pd.DataFrame({"ctx": c, "idx": range(len(built.vocab)), "ch": built.vocab, "lo": bounds[:-1], "hi": bounds[1:]})
 
     return contexts.select(ctx if ctx == "ctx" else contexts[ctx].alias("ctx")).mapInPandas(run, "ctx STRING, idx INT, ch STRING, lo BIGINT, hi BIGINT")
+
+
+def information(rows: DataFrame, keep: list[str], model: tuple[list[tuple], list[str]], text: str = "text") -> DataFrame:
+    """``keep`` and the ideal bits and characters of every text that the codec can hold."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    plain = rows.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("__text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built = Model(*sent.value)
+        for frame in frames:
+            frame = frame[[not lossy(t) for t in frame["__text"]]]
+            yield frame.drop(columns="__text").assign(bits=[ideal_bits(t, built) for t in frame["__text"]], chars=[len(t) for t in frame["__text"]])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
+    return plain.mapInPandas(run, f"{kept}, bits DOUBLE, chars BIGINT")

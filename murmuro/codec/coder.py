@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from math import log1p
+from math import log1p, log2
 
 import numpy as np
 
@@ -178,6 +178,20 @@ def _coded(text: str, model: Model) -> tuple[bytes, bool]:
     return writer.close(), escapes
 
 
+def ideal_bits(text: str, model: Model) -> float:
+    """The information of ``text`` and its end under the model, in bits; what the coder approaches."""
+    escapes = any(c not in model.index for c in text)
+    context, bits = BOS * ORDER, 0.0
+    for c in [*text, EOF]:
+        bounds, known = model.bounds(context, escapes), c in model.index
+        i = model.index[c if known else ESC]
+        bits += log2(SCALE / (int(bounds[i + 1]) - int(bounds[i])))
+        if not known:
+            bits += sum(log2(base) for _, base in _digits(ord(c)))
+        context = (context + c)[-ORDER:]
+    return bits
+
+
 def _decoded(data: bytes, escapes: bool, model: Model) -> str:
     reader, out, context = _Reader(data), [], BOS * ORDER
     for _ in range(MOST_SYMBOLS):

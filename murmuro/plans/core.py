@@ -302,6 +302,13 @@ def weighted_bpc(spark: SparkSession, folder: str) -> DataFrame:
     return per.agg((F.sum(F.col("n") * 8 * F.col("b") / F.col("c")) / F.sum("n")).alias("by_message"), (8 * F.sum("b") / F.sum("c")).alias("by_char"), F.every("ok").alias("all_ok"))
 
 
+def ideal_bits_by_lang(spark: SparkSession, folder: str) -> DataFrame:
+    """Ideal bits per character of ``test`` per language, the bound that the coder approaches."""
+    model = channel.publish(_train(spark, folder))
+    rows = channel.information(table(spark, folder, "test").select("lang", "text").repartition(spark.sparkContext.defaultParallelism), ["lang"], model)
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), (F.sum("bits") / F.sum("chars")).alias("ideal_bpc"))
+
+
 def bpc_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Bits per character per language and over all characters, binary and text channel."""
     rows = _encoded(spark, folder).where("text <> ''")
@@ -354,7 +361,7 @@ QUERIES = {
         ngram_counts_o3, ngram_totals, ngram_top_contexts, ngram_weighted, prune_contexts, ngram_model_sizes, vocab_index, script_index, cumulative_symbols, lang_detect_v0, lang_detect_v1, lang_detect_v2,
         script_histogram, msg_valid_v1, msg_valid_v2, dedup_first, dedup_two_key, dedup_window_events, split_topn, split_counts, split_90_10, anti_train_test, synthetic_not_real, union_sources, language_union,
         intersect_overlap, group_at_least, region_hint_join, codepoint_block_range, collection_stats_rollup, raw_stats, status_counters, length_buckets, message_fields, compress_roundtrip, bpc_by_language,
-        weighted_bpc, bpc_rollup, ratio_by_length, compress_text_roundtrip, base91_roundtrip, cdf_top_contexts, decode_report, aes_ctr_roundtrip,
+        weighted_bpc, ideal_bits_by_lang, bpc_rollup, ratio_by_length, compress_text_roundtrip, base91_roundtrip, cdf_top_contexts, decode_report, aes_ctr_roundtrip,
     )
 }
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from murmuro.codec import base91, channel
-from murmuro.codec.coder import SCALE, Model, compress, decompress, lossy
+from murmuro.codec.coder import SCALE, Model, compress, decompress, ideal_bits, lossy
 from murmuro.operators.ngram import BOS, EOF
 
 VECTORS = [b"", b"Hello, World!", bytes([0, 1, 2, 255, 254, 253]), b"A" * 100, bytes(range(256)), b"\0", b"\xff", b"\0\0\0"]
@@ -61,6 +61,13 @@ def test_no_expansion_but_for_reserved_starts(model):
     assert compress("\x00", model)[0] < 2 and channel.compress_text("!", model)[0] in '"#'
 
 
+def test_coder_stays_near_the_ideal(model):
+    for t in ["ok", "Привет, как дела?", "zq9 №", "😀 check channel 5", "x" * 300]:
+        code = 8 * (len(compress(t, model)) - 1)
+        if compress(t, model)[0] < 2:
+            assert ideal_bits(t, model) <= code <= ideal_bits(t, model) * 1.001 + 10
+
+
 def test_lossy_cases(model):
     assert lossy("a\x03b") and lossy("a\x04") and lossy("x" * 4096) and not lossy("x" * 4095)
 
