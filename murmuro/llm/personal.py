@@ -46,30 +46,86 @@ _STREET_EN = r"(?:street|st\.?|rd|road|lane|ln|close|avenue|ave|drive|court|way|
 _FLAT = r"(?:(?:flat|apt\.?|apartment|unit|suite|room) ?#?\w{1,4},? )?"
 _STREET_DE = r"(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|ufer|damm|pfad)"
 _STREET_NL = r"(?:straat|laan|weg|gracht|plein|kade|dreef|singel)"
-_NAMED = rf"{_WORD}(?:[ -]{_WORD}){{0,2}}"
-ADDRESS = re.compile(
-    "(?i)" + "|".join((
-        rf"(?<!\w){_FLAT}\d{{1,4}}[a-z]?,? {_NAMED} {_STREET_EN}(?!\w)",
-        rf"(?<!\w)\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|impasse|chemin|place|boulevard|allée|quai|route|square|cours)(?: (?:de|du|des|de la|d'))? ?{_NAMED}",
-        rf"(?<!\w)(?:calle|plaza|avenida|avda\.|paseo|camino|ronda|travesía|rua|travessa|largo|praça|alameda|beco|estrada|c/|av\.|avda\.|pza\.|r\.|tv\.)(?: (?:de|del|da|do|dos|das))? {_NAMED},? (?:n[.ºo]+ ?)?\d{{1,4}}[a-z]?(?!\w)",
-        rf"(?<!\w)(?-i:(?:Am|An der|Auf dem|Im|Zum|Zur|Aan de|Op de) {_CAP})(?:{_CAP}|{_LOW})+ \d{{1,4}}[a-z]?(?![\w.:])",
-        rf"(?<!\w)(?:{_CAP}|{_LOW})+(?:[ -]?{_STREET_DE}|{_STREET_NL}) ?\d{{1,4}} ?[a-z]?(?:-\d+)?(?!\w)",
-        rf"(?<!\w)(?:ul\.|al\.|os\.|pl\.|ulica|aleja|osiedle) {_NAMED},? \d{{1,4}}[a-z]?(?:/\d+)?(?!\w)",
-        rf"(?<!\w)(?:ул\.|улица|пер\.|переулок|проспект|просп\.|пр\.|бульвар|площадь|шоссе|вул\.|вулиця|пров\.|провулок|просп\.|бульв\.) ?{_NAMED},? (?:д\. ?|дом |буд\. ?|будинок )?\d{{1,4}}[а-я]?(?:/\d+)?(?!\w)",
-        rf"(?<!\w){_NAMED} (?:улица|переулок|проспект|бульвар|шоссе|вулиця|провулок|площадь),? (?:д\. ?|дом |буд\. ?|будинок )?\d{{1,4}}[а-я]?(?!\w)",
-        rf"(?<!\w){_NAMED} (?:cad\.|caddesi|sok\.|sokak|sokağı|mah\.|mahallesi|bulvarı|bulv\.),? (?:no:? ?)?\d{{1,4}}(?:/\d+)?(?!\w)",
-    ))
-)
+_SPELLED = {
+    "strict": rf"(?-i:{_CAP})(?:{_CAP}|{_LOW})+(?:[ -](?-i:{_CAP})(?:{_CAP}|{_LOW})+){{0,2}}",  # capitals, where the text has them
+    "loose": rf"{_WORD}(?:-{_WORD})?",
+}
+
+
+def _forward(named: str) -> re.Pattern:
+    """Addresses that begin with a number or a street word."""
+    return re.compile(
+        "(?i)(?<!\\w)(?:" + "|".join((
+            rf"{_FLAT}\d{{1,4}}[a-z]?,? {named} {_STREET_EN}(?!\w)",
+            rf"\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|impasse|chemin|place|boulevard|allée|quai|route|square|cours)(?: (?:de|du|des|de la|d'))? ?{named}",
+            rf"(?:calle|plaza|avenida|avda\.|paseo|camino|ronda|travesía|rua|travessa|largo|praça|alameda|beco|estrada|c/|av\.|pza\.|r\.|tv\.)(?: (?:de|del|da|do|dos|das))? {named},? (?:n[.ºo]+ ?)?\d{{1,4}}[a-z]?(?!\w)",
+            rf"(?-i:Am|An der|Auf dem|Im|Zum|Zur|Aan de|Op de) {named} \d{{1,4}}[a-z]?(?![\w.:])",
+            rf"(?:ul\.|al\.|os\.|pl\.|ulica|aleja|osiedle) {named},? \d{{1,4}}[a-z]?(?:/\d+)?(?!\w)",
+            rf"(?:ул\.|улица|пер\.|переулок|проспект|просп\.|пр\.|бульвар|площадь|шоссе|вул\.|вулиця|пров\.|провулок|бульв\.) ?{named},? (?:д\. ?|дом |буд\. ?|будинок )?\d{{1,4}}[а-я]?(?:/\d+)?(?!\w)",
+        )) + ")"
+    )
+
+
+_FORWARD = {kind: _forward(named) for kind, named in _SPELLED.items()}
+#: Street words that end a name, with the number after them; the name is found backwards.
+_ENDING = re.compile(rf"(?i)(?<=\w)[ -]?(?:{_STREET_DE[3:-1]}|{_STREET_NL[3:-1]}) ?\d{{1,4}} ?[a-z]?(?:-\d+)?(?!\w)")
+_AFTER = re.compile(r"(?i)(?<=\w )(?:улица|переулок|проспект|бульвар|шоссе|вулиця|провулок|площадь|cad\.|caddesi|sok\.|sokak|sokağı|mah\.|mahallesi|bulvarı|bulv\.),? ?(?:д\. ?|дом |буд\. ?|будинок |no:? ?)?\d{1,4}[а-яa-z]?(?:/\d+)?(?!\w)")
+
+
+_START_WORD = re.compile(r"(?<!\w)(?:calle|plaza|avenida|avda\.|paseo|camino|ronda|travesía|rua|travessa|largo|praça|alameda|beco|estrada|c/|av\.|pza\.|r\.|tv\.|am|an der|auf dem|im|zum|zur|aan de|op de|ul\.|al\.|os\.|pl\.|ulica|aleja|osiedle|ул\.|улица|пер\.|переулок|проспект|просп\.|пр\.|бульвар|площадь|шоссе|вул\.|вулиця|пров\.|провулок|бульв\.|flat|apt|apartment|unit|suite|room) ?")
+_DIGITS = re.compile(r"(?<![0-9])[0-9]{1,4}")
+_HOUSE = re.compile(r"(?:д\.|дом|буд\.|будинок|no:?) *$")
+_ENDINGS = ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ring", "ufer", "damm", "pfad", "straat", "laan", "gracht", "plein", "kade", "dreef", "singel")
+_AFTERS = ("улица", "переулок", "проспект", "бульвар", "шоссе", "вулиця", "провулок", "площадь", "cad.", "caddesi", "sok.", "sokak", "sokağı", "mah.", "mahallesi", "bulvarı", "bulv.")
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """First and one past the last character of everything with the shape of an address.
+
+    Every address has a number, so numbers and the street words that come first
+    are looked up, and the patterns are tried only there.
+    """
+    low = text.lower()
+    forward = _FORWARD["loose" if text in (low, text.upper()) else "strict"]
+    same = len(low) == len(text)  # else lower case moves positions, and every place is tried
+    numbers = [m.start() for m in _DIGITS.finditer(text)]
+    if not numbers:
+        return []
+    if same:
+        tries = {m.start() for m in _START_WORD.finditer(low)} | {n for n in numbers if not n or not text[n - 1].isalnum()}
+        out, end = [], -1
+        for at in sorted(tries):
+            if at >= end and (m := forward.match(text, at)):
+                out.append(m.span())
+                end = m.end()
+    else:
+        out = [m.span() for m in forward.finditer(text)]
+    for n in numbers:
+        before = low[max(0, n - 30) : n].rstrip() if same else text[max(0, n - 30) : n].lower().rstrip()
+        for pattern, words in ((_ENDING, _ENDINGS), (_AFTER, _AFTERS)):
+            if not (before if pattern is _ENDING else _HOUSE.sub("", before).rstrip(" ,")).endswith(words):
+                continue
+            for m in pattern.finditer(text, max(0, n - 30), n + 12):
+                start = m.start()
+                while start and text[start - 1] == " ":
+                    start -= 1
+                while start and (text[start - 1].isalpha() or text[start - 1] in "-'"):
+                    start -= 1
+                if start < m.start() and not any(b < m.end() and start < e for b, e in out):
+                    out.append((start, m.end()))
+    return out
+
+
 _FIRST = rf"(?:{_CAP}\.|{_CAP}{_LOW}+(?:-{_CAP}{_LOW}+)?)"
 NAME = re.compile(rf"(?<![\w.-]){_FIRST} {_CAP}{_LOW}+(?:-{_CAP}{_LOW}+)?(?!\w)")
 _ANYCASE_NAME = re.compile(rf"(?<![\w.-])(?:\w\.|{_WORD}(?:-{_WORD})?) {_WORD}(?:-{_WORD})?(?!\w)")
-SHAPES = {"email": EMAIL, "phone": PHONE, "id_number": IDENTITY, "address": ADDRESS}
+SHAPES = {"email": EMAIL, "phone": PHONE, "id_number": IDENTITY}
 # Wordings that announce an item.
 SAYS_PHONE = re.compile(r"(?i)(?:call me on|phone:?|my number is|text|ring me|tel\.?:?|tél\.?:?|numéro est le|appelle le|meine nummer:?|ruf mich an unter|mi número es(?: el)?|llámame al|o meu número é|liga para|мой номер|звоните|тел\.|мій номер|дзвоніть|mój numer(?: to)?|dzwoń(?: na)?|mijn nummer is|bel(?: me)?(?: op)?|numaram|beni)\s*:?\s*$")
 SAYS_ID = re.compile(r"(?i)(?:ssn|social security|passport(?: no\.?| number)?|id card|identity card|tax id|national insurance|паспорт\w*|снилс|инн|серия и номер|іпн|посвідчення|ausweis\w*|personalausweisnummer|reisepass|steuer-id|pasaporte|dni|nie|número de identidad|passeport|passeport porte le numéro|carte d.identité|n° de sécu\w*|passaporte|cartão de cidadão|nif|pesel|numer dowodu|dowód|paszport|bsn|paspoort|kimlik|kimlik numaram|pasaport|tc)(?:,? it| no\.?)?(?:\s+(?:is|ist|es|é|est|to|the|nr\.?))?\s*[:]?\s*$")
 ID_AFTER = re.compile(r"(?i)^\s+(?:is my social|is my passport|is my id)")
 BEFORE_NAME = re.compile(
-    r"(?i)(?:my name is|this is|ask for|signed,|i am called|меня зовут|старший группы|ключи держит|на связи|мене звати|ключі має|старший|den schlüssel hat|ich heiße|frag nach|hier spricht|je m.appelle|demande|\bici|me llamo|pregunta por|os habla|chamo-me|pergunta por|fala|nazywam się|mówi|klucz ma|pytaj o|ik heet|vraag naar|de sleutel heeft|je spreekt met|benim adım|anahtar|\bben)\s+$"
+    r"(?i)(?:my name is|this is|ask for|signed,|i am called|меня зовут|старший группы|ключи держит|на связи|на зв['ʼ’]язку|мене звати|ключі має|старший|den schlüssel hat|ich heiße|frag nach|hier spricht|je m.appelle|demande|\bici|me llamo|pregunta por|os habla|chamo-me|pergunta por|fala|nazywam się|mówi|klucz ma|pytaj o|ik heet|vraag naar|de sleutel heeft|je spreekt met|benim adım|anahtar|\bben)\s+$"
 )
 AFTER_NAME = re.compile(r"(?i)^\s+(?:has the key|speaking|by the way|at the desk|garde la clé|à l.accueil|pour le réseau|tiene la llave|tem a chave|hat den schlüssel|ma klucz|heeft de sleutel|kişisinde|держит ключи)")
 
@@ -134,6 +190,7 @@ _ADDRESS_SIGNS = (
     "alameda|beco|estrada|straße|strasse|str.|gasse|weg|allee|platz|ring|ufer|damm|pfad|straat|laan|gracht|plein|kade|dreef|singel|ul.|al.|os.|pl.|ulica|aleja|osiedle|ул|пер|просп|пр.|бульв|площад|шоссе|вул|пров|cad|sok|mah|bulv"
 ).split("|")
 _NAME_SIGNS = [re.sub(r"[^\w ].*", "", w.replace("\\b", "")) for w in BEFORE_NAME.pattern.split("(?:")[1].split(")")[0].split("|")]
+_FIRM_BEFORE = re.compile(r"(?i)my name is|signed|зовут|группы|держит|звати|schlüssel hat|heiße|spricht|appelle|me llamo|os habla|chamo|nazywam|ik heet|benim ad")
 _BEFORE_ANY = re.compile(BEFORE_NAME.pattern[:-1])
 
 
@@ -145,7 +202,7 @@ def announced(text: str, first_names: frozenset[str]) -> list[tuple[str, int, in
     if any(w in low for w in _EMAIL_SIGNS):
         out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text) if "@" in m[0] or re.search(r"(?i)\(|\[|\bAT\b", m[0])]
     if any(w in low for w in _ADDRESS_SIGNS):
-        out += [("address", m.start(), m.end()) for m in ADDRESS.finditer(text) if not taken(m.start(), m.end())]
+        out += [("address", b, e) for b, e in addresses(text) if not taken(b, e)]
     for m in IDENTITY.finditer(text):
         if not taken(m.start(), m.end()) and (ID_AFTER.match(text[m.end() : m.end() + 30]) or SAYS_ID.search(text[max(0, m.start() - 60) : m.start()])):
             out.append(("id_number", m.start(), m.end()))
@@ -159,7 +216,8 @@ def announced(text: str, first_names: frozenset[str]) -> list[tuple[str, int, in
     if any(w in low for w in _NAME_SIGNS):
         for before in _BEFORE_ANY.finditer(text):
             m = _ANYCASE_NAME.match(text, before.end())
-            if m and not taken(m.start(), m.end()) and (NAME.fullmatch(m[0]) or known(m[0]) or AFTER_NAME.match(text[m.end() : m.end() + 30])):
+            plain = low == text and _FIRM_BEFORE.search(before[0])
+            if m and not taken(m.start(), m.end()) and (plain or NAME.fullmatch(m[0]) or known(m[0]) or AFTER_NAME.match(text[m.end() : m.end() + 30])):
                 out.append(("name", m.start(), m.end()))
     return sorted(set(out), key=lambda s: s[1])
 
@@ -340,7 +398,7 @@ class Tagger:
 _BLEND = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1.0).astype(np.float32)
 
 
-def tagged(texts: list[str], model: Tagger, block: int = 2000, lean: float = 0.7) -> list[list[tuple[str, int, int]]]:
+def tagged(texts: list[str], model: Tagger, block: int = 2000, lean: float = 1.25) -> list[list[tuple[str, int, int]]]:
     """The decoded spans of every text; ``lean`` is taken from the score of no item, as the check that follows is strict."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
@@ -396,10 +454,10 @@ def checked(text: str, spans: list[tuple[str, int, int]], first_names: frozenset
     """
     certain = set(announced(text, first_names))
     found: set[tuple[str, int, int]] = {c for c in certain if any(b < c[2] and c[1] < e for _, b, e in spans)}
-    for kind, shape in SHAPES.items():
+    for kind in ("email", "phone"):
         mine = [(b, e) for k, b, e in spans if k == kind]
-        if mine and kind != "id_number":
-            found |= {(kind, m.start(), m.end()) for m in shape.finditer(text) if any(min(e, m.end()) - max(b, m.start()) > 0.5 * (m.end() - m.start()) for b, e in mine)}
+        if mine:
+            found |= {(kind, m.start(), m.end()) for m in SHAPES[kind].finditer(text) if any(min(e, m.end()) - max(b, m.start()) > 0.5 * (m.end() - m.start()) for b, e in mine)}
     out: list[tuple[str, int, int]] = []
     for kind, b, e in sorted(found, key=lambda s: (s not in certain, s[0] == "name", s[1] - s[2])):
         if not any(b < y and x < e for _, x, y in out):
@@ -436,7 +494,7 @@ def _sample(rows: DataFrame, text: str, most: int) -> list[str]:
     return [r["text"] for r in likely.orderBy(order).limit(most * 3 // 4).collect()] + [r["text"] for r in plain.orderBy(order).limit(most // 4).collect()]
 
 
-def found(rows: DataFrame, names: DataFrame, row_id: str, text: str, first_name: str, *, sample: int = 4000) -> DataFrame:
+def found(rows: DataFrame, names: DataFrame, row_id: str, text: str, first_name: str, *, sample: int = 5000) -> DataFrame:
     """``(row_id, items, masked)`` for every row; ``items``: kind, 1-based start, length in the original text."""
     known = frozenset(r[0].casefold() for r in names.select(first_name).where(F.col(first_name).isNotNull()).limit(100_000).collect())
     model = learned(_sample(rows, text, sample), known)
