@@ -41,7 +41,7 @@ EMAIL = re.compile(rf"(?i)(?<![\w.+-])[a-z0-9][a-z0-9._+-]*@[a-z0-9-]+(?:\.[a-z0
 PHONE = re.compile(
     r"(?<![\w.!#:/+(-])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\+\d{10,14}|00\d{1,3}[ .-]\d{3}[ .-]\d{3,4}(?:[ .-]\d{2,4}){1,2}|\(\d{3,4}\) ?\d{3,4}[ -]\d{2,4}(?:[ -]\d{2,4})?|0\d{2,4}[/ -]\d{5,8}|0\d{3}(?: \d{2}){3}|\d{3}-\d{6}|\d{3}-\d{3}-\d{4}|\d{3}-\d{4})(?![\w:])(?!\.\d)"
 )
-IDENTITY = re.compile(r"(?i)(?<![\w!.#-])(?:[a-z]\d{8}[a-z]|[a-z]\d{2} \d{3} \d{3}|[a-z]{2}\d{7}|\d{3}-\d{3}-\d{3} \d{2}|\d{3}-\d{2}-\d{4}|\d{11}|[a-z]{1,2} ?\d{6,9}[a-z]?)(?![\w:-])")
+IDENTITY = re.compile(r"(?i)(?<![\w!.#-])(?:[a-z]\d{8}[a-z]|[a-z]\d{2} \d{3} \d{3}|[a-z]{2}\d{7}|\d{3}-\d{3}-\d{3} \d{2}|\d{3}-\d{2}-\d{4}|\d{2} \d{2} \d{6}|\d{11}|[a-z]{1,2} ?\d{6,9}[a-z]?)(?![\w:-])")
 _STREET_EN = r"(?:street|st\.?|rd|road|lane|ln|close|avenue|ave|drive|court|way|terrace|crescent|gardens|grove|hill|row|square|place|mews)"
 _FLAT = r"(?:(?:flat|apt\.?|apartment|unit|suite|room) ?#?\w{1,4},? )?"
 _STREET_DE = r"(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|ufer|damm|pfad)"

@@ -123,6 +123,13 @@ def test_personal_held_out():
     assert hits / sum(map(len, want)) > 0.95 and hits / max(1, sum(map(len, got))) > 0.98
 
 
+def test_identity_number_of_three_groups():
+    for text in ("the form wants my SSN, it is 00 00 963876; call me", "00 00 612849 is my social security number", "Мавино. СНИЛС 00 00 171377"):
+        at = text.index("00 00")
+        assert personal.announced(text, NAMES) == [("id_number", at, at + 12)] == personal.checked(text, [("id_number", at + 6, at + 12)], NAMES)
+    assert personal.announced("my SSN is 00 00 9638761; batch 12 34 567890, serial number 12 34 567890", NAMES) == []
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(1)
     model = personal.Tagger(hidden=3)
