@@ -59,8 +59,10 @@ NOTICE = re.compile(
     r"|serverfehler|interne? du serveur|interno del servidor|interno do servidor|ошибка сервера|помилка сервера|nicht erreichbar|momentanément indisponible|no disponible|indisponível|недоступ\w+|niedostępn\w+|niet beschikbaar"
     r"|zugriff verweigert|accès refusé|acceso denegado|acesso negado|доступ (?:запрещ|заборон)\w+|odmowa dostępu|toegang geweigerd|erişim engellendi|neu anmelden|reconnectez|войдите|увійдіть|inicie sesión|inicie sessão"
     r"|(?:beitrag|thema|тема|тему|message|sujet|mensaje|tema|сообщение)\b.{0,20}(?:entfernt|gelöscht|удален\w*|видален\w*|supprimé|eliminad\w)|пошло не так|schief gegangen|schiefgelaufen|mal passé|salió mal"
-    r"|(?:necesita|demande|requiere?|exige|precisa|benötigt|vereist|wymaga)\b.{0,30}(?:scripts?|skripte|javascript)|^\W*(?:reference|ref|request id|incident|ray id)\W+\w+\W*$|(?:javascript|skripte|skripts?|scripts|скрипты|скрипти)\b.{0,60}(?:aktivier|zulassen|angezeigt|autoris|permit|браузер|включ|увімкн|włącz|inschakel|etkin|нужн|чтобы)|(?:aktivier\w*|activez|active|activa|ative|включите|увімкніть|włącz|schakel|ohne|sans|sin|sem|без|нужны|потрібні)\s+(?:die\s+|les\s+|los\s+|os\s+)?(?:javascript|skripte|scripts|скрипт\w*)"
+    r"|(?:necesita|demande|requiere?|exige|precisa|benötigt|vereist|wymaga)\b.{0,30}(?:scripts?|skripte|javascript)|(?:javascript|skripte|skripts?|scripts|скрипты|скрипти)\b.{0,60}(?:aktivier|zulassen|angezeigt|autoris|permit|браузер|включ|увімкн|włącz|inschakel|etkin|нужн|чтобы)|(?:aktivier\w*|activez|active|activa|ative|включите|увімкніть|włącz|schakel|ohne|sans|sin|sem|без|нужны|потрібні)\s+(?:die\s+|les\s+|los\s+|os\s+)?(?:javascript|skripte|scripts|скрипт\w*)"
 )
+# What names the id of an error; such a unit is a notice, whatever its id looks like.
+REFERENCE = re.compile(r"(?i)^\W*(?:reference|ref|request id|incident|ray id|referenz|référence|referencia|referência|referentie|referans|код (?:обращения|ошибки|звернення|помилки))(?: (?:id|no|number|code))?\W+[\w-]+\W*$")
 # Cue words of dummy and pending text.
 FILLER = re.compile(
     r"(?i)\b(?:lorem|ipsum)\b|^\W*(\w+)(?:\W+\1){2,}\W*$|^\W*(?:tbd\W*)+$|^\W*(?:todo|tbd|fixme|xxx)\b\W*(?:$|fill|add|write|describe|insert|complete|finish|text|here|later|дописать|заполнить)|\b(?:asdf|qwerty|blah|foo bar)\b|^\W*(?:test\W+)+$|sample text|placeholder (?:text|paragraph)|your (?:text|title|content) here|text (?:goes )?here|insert copy|coming soon|under construction|to be (?:added|written|continued)"
@@ -112,6 +114,8 @@ def kind(unit: str, may: bool = True) -> str:
         rest, n = _EMPTY.subn(" ", unit)
         if n and len(re.findall(r"\w+", rest)) <= 2 * n + 2 and not _FIRM.search(rest):
             return "empty"
+    if REFERENCE.match(unit):
+        return "notice"
     if _FIRM.search(unit):
         return "value"
     if CHROME.match(unit):
@@ -138,7 +142,7 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for shape, slots, open_ in shapes:
                 if slots and not open_:
                     filled[shape] += 1
-            if sum(1 for p in parts[1:] if _FIRM.search(p)) > 2 and not any(open_ for *_, open_ in shapes):
+            if sum(1 for p in parts[1:] if _FIRM.search(p) and not REFERENCE.match(p)) > 2 and not any(open_ for *_, open_ in shapes):
                 continue
             kinds = [kind(p, o) for p, o in zip(parts, odd)]
             if not parts:

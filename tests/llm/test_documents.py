@@ -34,6 +34,14 @@ def test_repeated_page_needs_no_cue(spark):
     assert {r["doc_id"] for r in template_residue.residue(df, "doc_id").collect()} == {0, 1, 2, 3}
 
 
+def test_error_pages_with_a_reference(spark):
+    wrong = "Something went wrong on our side. Reference: {}"
+    hollow = [wrong.format("!1a2b3c4d"), wrong.format("Z2DG"), "Menu\n" + "\n".join(wrong.format(f"!{i:08x}") for i in range(4)), "502 Bad Gateway\nRequest ID: 7f3a-09bc"]
+    fair = ["Week 3\nSomething went wrong on our side at 11:20, then !1a2b3c4d came back.", f"Week 4\n{wrong.format('!1a2b3c4d')}\nAt 12:30 the mast of Kelstead was dry.", "Road report\nReference node !1a2b3c4d was heard at 3.5 dB."]
+    df = spark.createDataFrame(list(enumerate(hollow + fair)), "doc_id BIGINT, text STRING")
+    assert {r["doc_id"] for r in template_residue.residue(df, "doc_id").collect()} == set(range(len(hollow)))
+
+
 def test_pack_is_valid_and_tight():
     rng = np.random.default_rng(2)
     sizes = np.clip(rng.lognormal(5.7, 0.9, 600).astype(int), 1, 2047)
