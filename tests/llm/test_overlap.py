@@ -51,6 +51,14 @@ def test_overlaps_against_brute_force(spark):
     assert shared_spans.overlaps(a.limit(0), b, "test_id", "train_id").count() == 0
 
 
+def test_one_shared_run_in_a_crowd_is_enough(spark):
+    said = "can somebody near the old mill ping my brand new node before tonight please".split()
+    trains = [" ".join(said[:6] + [w] + said[7:]) for w in "amber birch cedar delta ember fjord grove heath islet jetty kiosk lodge".split()]
+    test = spark.createDataFrame([(1, " ".join(said))], "test_id BIGINT, text STRING")
+    train = spark.createDataFrame(list(enumerate(trains)), "train_id BIGINT, text STRING")
+    assert {tuple(r) for r in shared_spans.overlaps(test, train, "test_id", "train_id").collect()} == {(1, i) for i in range(len(trains))}
+
+
 def test_hot_group_crosses_chunks():
     rng = random.Random(1)
     run = shared_spans._suffixes(12)
