@@ -1,12 +1,14 @@
 """Personal items in free text: a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Training: announcements and shapes (the fixed values below) mark spans in a
-bounded sample of rows; these labelled spans teach the network what an item
-looks like from its letters and its surroundings. Inference: every text, whole,
-is cut into overlapping windows; their emissions are blended where they overlap
-and one path over the whole text is decoded with the CRF transitions. The
-decoded spans are then checked: a span must touch an item of the shape of its
-kind, which also gives the exact first and last character.
+Training: a bounded sample of rows carries spans from two sources: items that
+shapes and announcements make certain, and made-up sentences with items at
+known places that are put between their sentences (``personal_examples``).
+Inference: every text, whole, is read in overlapping windows and one path over
+the whole text is decoded (``tagger``). The decoded spans are the items: each
+is set to the edges of its words or, where an item of the span's kind has its
+exact shape there, to that shape. A span stands if the path with it scores at
+least ``sure`` above the path without it; less is enough (``fair``) where an
+announcement beside it says the same.
 
 Texts are read through a character table that maps full-width, accented and
 look-alike letters to plain ones; invisible characters are taken out and
@@ -16,19 +18,24 @@ equal items; very long texts are decoded in windows like any other.
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuro.llm.lookalikes import INVISIBLE, TO_SCRIPT, CYRILLIC, LATIN, mixed, TOKEN, respelled, _MIXABLE
+from murmuro.llm.lookalikes import _MIXABLE, CYRILLIC, INVISIBLE, LATIN, TOKEN, mixed, respelled
+from murmuro.llm.personal_examples import planted
+from murmuro.llm.tagger import PAD, PAIR, Tagger, spans
+from murmuro.llm.tagger import WINDOW as STEPS
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-WINDOW, STEP = 128, 96
+BLOCK = 800_000  # characters that are read at once
 
 # The shapes of items.
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻŹĆŃİŞĞÇÖÜЀ-Я]"
@@ -74,6 +81,7 @@ _AFTER = re.compile(r"(?i)(?<=\w )(?:улица|переулок|проспек
 
 _START_WORD = re.compile(r"(?<!\w)(?:calle|plaza|avenida|avda\.|paseo|camino|ronda|travesía|rua|travessa|largo|praça|alameda|beco|estrada|c/|av\.|pza\.|r\.|tv\.|am|an der|auf dem|im|zum|zur|aan de|op de|ul\.|al\.|os\.|pl\.|ulica|aleja|osiedle|ул\.|улица|пер\.|переулок|проспект|просп\.|пр\.|бульвар|площадь|шоссе|вул\.|вулиця|пров\.|провулок|бульв\.|flat|apt|apartment|unit|suite|room) ?")
 _DIGITS = re.compile(r"(?<![0-9])[0-9]{1,4}")
+_BEFORE_STREET = re.compile(rf"(?<![\w.,;:!?]){_CAP}{_LOW}+ \Z")
 _HOUSE = re.compile(r"(?:д\.|дом|буд\.|будинок|no:?) *$")
 _ENDINGS = ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ring", "ufer", "damm", "pfad", "straat", "laan", "gracht", "plein", "kade", "dreef", "singel")
 _AFTERS = ("улица", "переулок", "проспект", "бульвар", "шоссе", "вулиця", "провулок", "площадь", "cad.", "caddesi", "sok.", "sokak", "sokağı", "mah.", "mahallesi", "bulvarı", "bulv.")
@@ -111,6 +119,9 @@ def addresses(text: str) -> list[tuple[int, int]]:
                     start -= 1
                 while start and (text[start - 1].isalpha() or text[start - 1] in "-'"):
                     start -= 1
+                for _ in range(2):  # a street word of its own may follow a name of up to three capitalised words
+                    more = _BEFORE_STREET.search(text, max(0, start - 40), start) if text[m.start()] in " -" or pattern is _AFTER else None
+                    start = more.start() if more else start
                 if start < m.start() and not any(b < m.end() and start < e for b, e in out):
                     out.append((start, m.end()))
     return out
@@ -151,7 +162,6 @@ for _cp in range(0x3000):
         _TABLE[_cp] = 128 + _p - 0x0400
     elif chr(_p).isalpha():
         _TABLE[_cp] = 4 if chr(_p).islower() else 5
-LETTERS, PAD = 128 + 0x60, 0
 _HIDDEN = re.compile(f"[{INVISIBLE}‍]")
 _ODD_SPACE = str.maketrans({chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {"’": "'", "ʼ": "'"})
 
@@ -159,13 +169,16 @@ _ODD_SPACE = str.maketrans({chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0
 _ODD = re.compile(f"[{''.join(map(chr, _ODD_SPACE))}]")
 
 
+_MAY_MIX = re.compile("[A-Za-zÀ-ʯ][0-9̀-ͯ]*[Ͱ-ԯ]|[Ͱ-ԯ][0-9̀-ͯ]*[A-Za-zÀ-ʯ]|[Ͱ-Ͽἀ-῿ᲀ-ᲈḀ-ỿ҃-҇]")  # a cheap sign of what _MIXABLE finds
+
+
 def cleaned(text: str) -> tuple[str, np.ndarray | None]:
     """``text`` without invisible characters and with plain forms; and where each character stood, None if nothing moved."""
     if text.isascii():
         return text, None
     if _ODD.search(text):
         text = text.translate(_ODD_SPACE)
-    if _MIXABLE.search(text):
+    if _MAY_MIX.search(text) and _MIXABLE.search(text):
         usual = CYRILLIC if sum("Ѐ" <= c <= "ӿ" for c in text) * 2 > sum(c.isalpha() for c in text) else LATIN
         text = TOKEN.sub(lambda m: r if mixed(m[0]) and len(r := respelled(m[0], usual)) == len(m[0]) else m[0], text)
     if not _HIDDEN.search(text) and unicodedata.is_normalized("NFKC", text):
@@ -227,260 +240,98 @@ def _codes(text: str) -> np.ndarray:
     return np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], np.where(points >= 0x1F000, 6, 7)).astype(np.uint8)
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-class Tagger:
-    """The network: a letter table, two LSTM directions, a linear layer and CRF transitions."""
-
-    def __init__(self, hidden: int = 12, seed: int = 3) -> None:
-        rng = np.random.default_rng(seed)
-        k = len(KINDS) + 1
-        self.h = hidden
-        self.w = {
-            "x": rng.normal(0, 0.3, (2, LETTERS, 4 * hidden)).astype(np.float32),
-            "u": (rng.normal(0, 1, (2, hidden, 4 * hidden)) / np.sqrt(hidden)).astype(np.float32),
-            "o": (rng.normal(0, 1, (2, hidden, k)) / np.sqrt(2 * hidden)).astype(np.float32),
-            "b": np.zeros(k, np.float32),
-            "t": np.zeros((k, k), np.float32),
-        }
-        self.w["x"][:, :, hidden : 2 * hidden] += 0.5  # remember at first
-
-    def _forward(self, codes: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """Emissions of windows ``codes`` (rows x places)."""
-        n, size = codes.shape
-        both = np.stack([codes, codes[:, ::-1]])
-        h, c = np.zeros((2, n, self.h), np.float32), np.zeros((2, n, self.h), np.float32)
-        out = np.empty((size, 2, n, self.h), np.float32)
-        tape = []
-        x, u, d = self.w["x"].copy(), self.w["u"].copy(), self.h
-        x[..., : 3 * d] *= 0.5  # one tanh serves all gates: sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
-        u[..., : 3 * d] *= 0.5
-        for t in range(size):
-            g = np.matmul(h, u)
-            g[0] += x[0][both[0, :, t]]
-            g[1] += x[1][both[1, :, t]]
-            np.tanh(g, out=g)
-            g[..., : 3 * d] *= 0.5
-            g[..., : 3 * d] += 0.5
-            old, before = c, h
-            c = g[..., d : 2 * d] * c
-            c += g[..., :d] * g[..., 3 * d :]
-            tc = np.tanh(c)
-            h = g[..., 2 * d : 3 * d] * tc
-            out[t] = h
-            if keep:
-                tape.append((g, old, tc, before))
-        emitted = np.matmul(out[:, 0], self.w["o"][0]) + np.matmul(out[::-1, 1], self.w["o"][1]) + self.w["b"]
-        return emitted.transpose(1, 0, 2), [both, tape, out]
-
-    def emissions(self, codes: np.ndarray) -> np.ndarray:
-        """Emissions of windows, as in training; features come first, so every step runs over long contiguous rows."""
-        n, size = codes.shape
-        d = self.h
-        half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), d)[:, None]  # one tanh serves all gates
-        x = np.ascontiguousarray(self.w["x"].transpose(0, 2, 1)) * half
-        u = np.ascontiguousarray(self.w["u"].transpose(0, 2, 1)) * half * np.float32(0.5)  # the states below are doubled
-        h, c, tc = (np.zeros((2, d, n), np.float32) for _ in range(3))
-        out = np.empty((2, size, d, n), np.float32)
-        ahead = np.ascontiguousarray(codes.T)
-        for t in range(size):
-            g = np.matmul(u, h)
-            g[0] += x[0].take(ahead[t], axis=1)
-            g[1] += x[1].take(ahead[size - 1 - t], axis=1)
-            np.tanh(g, out=g)
-            gates = g[:, : 3 * d]
-            gates += 1
-            c *= gates[:, d : 2 * d]
-            c += gates[:, :d] * g[:, 3 * d :]
-            c *= 0.5
-            np.tanh(c, out=tc)
-            h = gates[:, 2 * d :] * tc
-            out[0, t], out[1, size - 1 - t] = h[0], h[1]
-        o = self.w["o"].transpose(0, 2, 1) * np.float32(0.5)
-        return (np.matmul(o[0], out[0]) + np.matmul(o[1], out[1]) + self.w["b"][:, None]).transpose(2, 0, 1)
-
-    def _gradients(self, codes: np.ndarray, tags: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        e, (both, tape, out) = self._forward(codes, True)
-        n, size, k = e.shape
-        T = self.w["t"].astype(np.float64)
-        e64 = np.where(real[..., None], e, 0).astype(np.float64)
-        alpha = np.empty((size, n, k))
-        alpha[0] = e64[:, 0]
-        for t in range(1, size):
-            step = _logsum(alpha[t - 1][:, :, None] + T, 1) + e64[:, t]
-            alpha[t] = np.where(real[:, t, None], step, alpha[t - 1])
-        total = _logsum(alpha[-1], 1)
-        beta = np.zeros((n, k))
-        grad_e, grad_t = np.zeros((n, size, k)), np.zeros((k, k))
-        one = np.eye(k)
-        for t in range(size - 1, -1, -1):
-            grad_e[:, t] = np.where(real[:, t, None], np.exp(alpha[t] + beta - total[:, None]) - one[tags[:, t]], 0)
-            if t:
-                live = real[:, t]
-                pair = np.exp(alpha[t - 1][live][:, :, None] + T + (e64[live, t] + beta[live])[:, None, :] - total[live][:, None, None])
-                grad_t += pair.sum(axis=0)
-                np.subtract.at(grad_t, (tags[live, t - 1], tags[live, t]), 1)
-                beta[live] = _logsum(T[None] + (e64[live, t] + beta[live])[:, None, :], 2)
-        gold = (np.take_along_axis(e64, tags[..., None], 2).squeeze(2) * real).sum() + (T[tags[:, :-1], tags[:, 1:]] * real[:, 1:]).sum()
-        loss = float((total.sum() - gold) / n)
-        ge = (grad_e / n).astype(np.float32).transpose(1, 0, 2)
-        grads = {"t": (grad_t / n).astype(np.float32), "b": ge.sum(axis=(0, 1)), "o": np.stack([np.einsum("tnh,tnk->hk", out[:, 0], ge), np.einsum("tnh,tnk->hk", out[::-1, 1], ge)])}
-        back = np.stack([np.matmul(ge, self.w["o"][0].T), np.matmul(ge, self.w["o"][1].T)[::-1]], axis=1)
-        d = self.h
-        gx, gu = np.zeros_like(self.w["x"]), np.zeros_like(self.w["u"])
-        dh, dc = np.zeros((2, n, d), np.float32), np.zeros((2, n, d), np.float32)
-        for t in range(size - 1, -1, -1):
-            g, old, tc, before = tape[t]
-            i, f, o, a = g[..., :d], g[..., d : 2 * d], g[..., 2 * d : 3 * d], g[..., 3 * d :]
-            dh = dh + back[t]
-            dc = dc + dh * o * (1 - tc * tc)
-            dg = np.concatenate((dc * a * i * (1 - i), dc * old * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - a * a)), axis=-1)
-            gu += np.matmul(before.transpose(0, 2, 1), dg)
-            for s in (0, 1):
-                np.add.at(gx[s], both[s, :, t], dg[s])
-            dh = np.matmul(dg, self.w["u"].transpose(0, 2, 1))
-            dc = dc * f
-        return loss, grads | {"x": gx, "u": gu}
-
-    def fit(self, codes: np.ndarray, tags: np.ndarray, real: np.ndarray, passes: int = 9, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Tagger:
-        """Adam over shuffled windows."""
-        rng, step = np.random.default_rng(seed), 0
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        v = {k: np.zeros_like(w) for k, w in self.w.items()}
-        total = passes * max(1, len(codes) // batch)
-        for _ in range(passes):
-            order = rng.permutation(len(codes))
-            for at in range(0, len(order) - min(batch, len(order)) + 1, batch):
-                pick = order[at : at + batch]
-                self.loss, grads = self._gradients(codes[pick], tags[pick], real[pick])
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                step += 1
-                pace = rate * (1 - 0.9 * step / (total + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for key, g in grads.items():
-                    g = g * min(1.0, 5.0 / (norm + 1e-9))
-                    m[key] = 0.9 * m[key] + 0.1 * g
-                    v[key] = 0.999 * v[key] + 0.001 * g * g
-                    self.w[key] -= (pace * m[key] / (np.sqrt(v[key]) + 1e-8)).astype(np.float32)
-        return self
-
-    def paths(self, emitted: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The best path of each row of blended emissions; rows are in descending order of ``sizes``."""
-        n, most, k = emitted.shape
-        e = np.ascontiguousarray(emitted.transpose(1, 2, 0))  # places, tags, rows
-        lives = np.searchsorted(-sizes, -np.arange(most), side="left")
-        came = np.zeros((most, k, n), np.uint8)
-        best = e[0].copy()
-        T = self.w["t"]
-        for t in range(1, most):
-            live = lives[t]
-            old = best[:, :live]
-            top = old[0] + T[0][:, None]
-            source = came[t, :, :live]
-            for j in range(1, k):
-                other = old[j] + T[j][:, None]
-                np.copyto(source, j, where=other > top)
-                np.maximum(top, other, out=top)
-            best[:, :live] = top + e[t, :, :live]
-        out = np.zeros((n, most), np.uint8)
-        state = best.argmax(axis=0)
-        rows = np.arange(n)
-        for t in range(most - 1, -1, -1):
-            live = lives[t]
-            out[:live, t] = state[:live]
-            if t:
-                state[:live] = came[t, state[:live], rows[:live]]
-        return out
-
-
-_BLEND = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1.0).astype(np.float32)
-
-
-def tagged(texts: list[str], model: Tagger, block: int = 2000, lean: float = 1.25) -> list[list[tuple[str, int, int]]]:
-    """The decoded spans of every text; ``lean`` is taken from the score of no item, as the check that follows is strict."""
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
-    at = 0
-    while at < len(order):
-        rows = max(1, min(block, 600_000 // len(texts[order[at]])))
-        part = order[at : at + rows]
-        at += rows
-        sizes = np.array([len(texts[i]) for i in part], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        letters = _codes("".join(texts[i] for i in part))
-        counts = np.maximum(1, -(-(sizes - (WINDOW - STEP)) // STEP))
-        row = np.repeat(np.arange(len(part)), counts)
-        turn = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        spot = (turn * STEP)[:, None] + np.arange(WINDOW)
-        inside = spot < sizes[row][:, None]
-        windows = np.where(inside, letters[np.minimum(begins[row][:, None] + spot, len(letters) - 1)], PAD).astype(np.uint8)
-        lengths = inside.sum(axis=1)
-        emitted = np.zeros((len(windows), WINDOW, len(KINDS) + 1), np.float32)
-        by_length = np.argsort(-lengths, kind="stable")
-        for b in range(0, len(windows), 768):
-            some = by_length[b : b + 768]
-            width = lengths[some[0]]  # no more padding than the longest window of the batch needs
-            emitted[some, :width] = model.emissions(windows[some, :width])
-        k = emitted.shape[2]
-        most = int(sizes[0])
-        blend, weight = np.zeros((len(part) * most, k), np.float32), np.zeros((len(part) * most, 1), np.float32)
-        for parity in (0, 1):  # windows of one parity don't overlap
-            mine = (turn % 2 == parity)[:, None] & inside
-            at_flat = (row[:, None] * most + spot)[mine]
-            share = np.broadcast_to(_BLEND, mine.shape)[mine][:, None]
-            blend[at_flat] += emitted[mine] * share
-            weight[at_flat] += share
-        blend /= np.maximum(weight, 1e-6)
-        blend[:, 0] -= lean
-        path = model.paths(blend.reshape(len(part), most, k), sizes)
-        for r, i in enumerate(part):
-            tags = path[r, : sizes[r]]
-            if not tags.any():
-                continue
-            edges = np.flatnonzero(np.diff(tags)) + 1
-            for b, e in zip([0, *edges], [*edges, len(tags)]):
-                if tags[b]:
-                    out[i].append((KINDS[tags[b] - 1], int(b), int(e)))
-    return out
+def tagged(texts: list[str], model: Tagger, lean: float = 0.8) -> list[list[tuple[str, int, int, float]]]:
+    """The decoded spans ``(kind, begin, end, gain)`` of every text; ``lean`` is taken from the score of no item."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    found = spans(_codes("".join(texts)), sizes, model, lean) if sizes.sum() else [[] for _ in texts]
+    return [[(KINDS[tag - 1], b, e, gain) for tag, b, e, gain in own] for own in found]
+
+
+_EDGE = re.compile(r"\S+")
+_LOOSE = " \t\n,;:!?\"'“”«»<>[]{}|/"
+_TWO_WORDS = re.compile(rf"(?:\w\.|{_WORD}(?:-{_WORD})*) ?{_WORD}(?:-{_WORD})*")
+_HOUSED = re.compile(rf"^\d{{1,4}}\w?,? .*{_CAP}{_LOW}|{_CAP}{_LOW}.*\d{{1,4}}\w?$")
+_HAS_AT = re.compile(r"(?i)@|[(\[]a|\bat\b")
 
 
-def checked(text: str, spans: list[tuple[str, int, int]], first_names: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
-    """Items that a decoded span touches, at their exact place; the longer item wins an overlap.
+def _set(text: str, kind: str, b: int, e: int) -> tuple[int, int] | None:
+    """The item of the decoded span: its words, or the item of the exact shape that it covers; None if its kind can't be so.
 
-    An item has the shape of its kind. Where the span is of another kind, or
-    the shape alone says little (names), its surroundings must announce it.
+    What a kind needs at least: an email an at sign, a phone six digits and an identity
+    number five, an address a number at one end and a name, a name two words.
     """
-    certain = set(announced(text, first_names))
-    found: set[tuple[str, int, int]] = {c for c in certain if any(b < c[2] and c[1] < e for _, b, e in spans)}
-    for kind in ("email", "phone"):
-        mine = [(b, e) for k, b, e in spans if k == kind]
-        if mine:
-            found |= {(kind, m.start(), m.end()) for m in SHAPES[kind].finditer(text) if any(min(e, m.end()) - max(b, m.start()) > 0.5 * (m.end() - m.start()) for b, e in mine)}
+    if kind in SHAPES:
+        near = [m.span() for m in SHAPES[kind].finditer(text, max(0, b - 24), min(len(text), e + 24))]
+    elif kind == "address":
+        low = max(0, b - 40)
+        near = [(x + low, y + low) for x, y in addresses(text[low : e + 24])]
+    else:
+        near = []
+    for x, y in near:
+        if min(e, y) - max(b, x) > 0.6 * max(y - x, min(e - b, 40)):
+            return x, y
+    words = [m.span() for m in _EDGE.finditer(text, max(0, b - 30), min(len(text), e + 30))]
+    mine = [(x, y) for x, y in words if min(e, y) - max(b, x) > 0.5 * (y - x)]
+    if not mine:
+        return None
+    b, e = mine[0][0], mine[-1][1]
+    while b < e and (text[b] in _LOOSE or text[b] in ")."):
+        b += 1
+    while e > b and (text[e - 1] in _LOOSE or text[e - 1] in "(.-"):
+        e -= 1
+    if e - b > 1 and text[e - 1] == ")" and "(" not in text[b:e]:
+        e -= 1
+    item = text[b:e]
+    digits = sum(c.isdigit() for c in item)
+    fits = {
+        "email": bool(_HAS_AT.search(item)),
+        "phone": digits >= 6 and not any(c.isalpha() for c in item),
+        "id_number": digits >= 5 and " " not in re.sub(r"[0-9A-Z] [0-9A-Z]", "", item.upper()),
+        "address": len(item.split()) <= 6 and not re.search(r"[@#!()\[\]]|\d[.:]\d", item) and bool(_HOUSED.search(item)),
+        "name": digits == 0 and bool(_TWO_WORDS.fullmatch(item)),
+    }
+    return (b, e) if fits[kind] else None
+
+
+def settled(text: str, decoded: list[tuple[str, int, int, float]], first_names: frozenset[str] = frozenset(), sure: float = 8.0, fair: float = -12.0) -> list[tuple[str, int, int]]:
+    """The items of ``text`` by its decoded spans; of two that overlap the one with the higher gain stays."""
+    strong: list[tuple[float, str, int, int]] = []
+    said = announced(text, first_names)
+    for kind, b, e, gain in decoded:
+        beside = [(k, x, y) for k, x, y in said if b < y and x < e]
+        if beside and gain >= fair:
+            strong += [(gain + 100, *item) for item in beside]
+        elif gain >= sure and (item := _set(text, kind, b, e)):
+            strong.append((gain, kind, *item))
     out: list[tuple[str, int, int]] = []
-    for kind, b, e in sorted(found, key=lambda s: (s not in certain, s[0] == "name", s[1] - s[2])):
+    for _, kind, b, e in sorted(strong, key=lambda s: (-s[0], s[2])):
         if not any(b < y and x < e for _, x, y in out):
             out.append((kind, b, e))
     return sorted(out, key=lambda s: s[1])
 
 
-def learned(texts: list[str], first_names: frozenset[str]) -> Tagger:
-    """A tagger fitted to the announced spans of ``texts``."""
+def learned(texts: list[str], first_names: frozenset[str], seed: int = 17) -> Tagger:
+    """A tagger fitted to the announced spans of ``texts`` and to made-up sentences put into them."""
+    rng, known = random.Random(seed), sorted(first_names)
     codes, tags, real = [], [], []
     for text in texts:
         plain, _ = cleaned(text)
-        row = np.zeros(len(plain), np.int64)
-        for kind, b, e in announced(plain, first_names):
-            row[b:e] = KINDS.index(kind) + 1
-        letters = _codes(plain)
-        for s in range(0, max(1, len(plain) - (WINDOW - STEP)), STEP):
-            if row[s : s + WINDOW].any() or s == 0:
-                n = min(WINDOW, len(plain) - s)
-                codes.append(np.pad(letters[s : s + n], (0, WINDOW - n)))
-                tags.append(np.pad(row[s : s + n], (0, WINDOW - n)))
-                real.append(np.arange(WINDOW) < n)
-    model = Tagger()
+        items = announced(plain, first_names)
+        for _ in range(rng.randrange(3)):
+            plain, items = planted(rng, plain, items, known)
+        row = np.zeros(-(-len(plain) // PAIR) + 2, np.int64)
+        for kind, b, e in items:
+            row[b // PAIR + 1 : -(-e // PAIR) + 1] = KINDS.index(kind) + 1
+        flat = np.full(len(row) * PAIR, PAD, np.uint8)
+        flat[PAIR : PAIR + len(plain)] = _codes(plain)
+        letters = flat.reshape(-1, PAIR)
+        for s in range(0, max(1, len(row) - STEPS // 8), STEPS - STEPS // 8):
+            if row[s : s + STEPS].any() or s == 0:
+                n = min(STEPS, len(row) - s)
+                codes.append(np.pad(letters[s : s + n], ((0, STEPS - n), (0, 0))))
+                tags.append(np.pad(row[s : s + n], (0, STEPS - n)))
+                real.append(np.arange(STEPS) < n)
+    model = Tagger(len(KINDS) + 1)
     return model.fit(np.array(codes), np.array(tags), np.array(real)) if codes else model
 
 
@@ -494,30 +345,66 @@ def _sample(rows: DataFrame, text: str, most: int) -> list[str]:
     return [r["text"] for r in likely.orderBy(order).limit(most * 3 // 4).collect()] + [r["text"] for r in plain.orderBy(order).limit(most // 4).collect()]
 
 
-def found(rows: DataFrame, names: DataFrame, row_id: str, text: str, first_name: str, *, sample: int = 5000) -> DataFrame:
-    """``(row_id, items, masked)`` for every row; ``items``: kind, 1-based start, length in the original text."""
-    known = frozenset(r[0].casefold() for r in names.select(first_name).where(F.col(first_name).isNotNull()).limit(100_000).collect())
+def _fitted(rows: DataFrame, names: DataFrame, text: str, first_name: str, *, sample: int = 5000, most_names: int = 100_000) -> tuple[Broadcast, Broadcast]:
+    """The fitted network and the known first names, sent to the executors.
+
+    ``sample`` bounds the texts of training. More than ``most_names`` different
+    first names raise an error, as they are sent to every executor.
+    """
+    given = names.select(F.lower(F.col(first_name)).alias("n")).where("n <> ''").distinct()
+    count = given.count()
+    if count > most_names:
+        raise ValueError(f"{count} first names are more than most_names={most_names}")
+    known = frozenset(r[0].casefold() for r in given.collect())
     model = learned(_sample(rows, text, sample), known)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    sent_names = rows.sparkSession.sparkContext.broadcast(known)
+    spark = rows.sparkSession.sparkContext
+    return spark.broadcast(model), spark.broadcast(known)
+
+
+def _read(texts: list[str], model: Tagger, first_names: frozenset[str]) -> list[list[tuple[str, int, int]]]:
+    """The items ``(kind, begin, size)`` of every text, in its own positions."""
+    plain = [cleaned(t) for t in texts]
+    out = []
+    for (p, moved), decoded in zip(plain, tagged([p for p, _ in plain], model)):
+        own = settled(p, decoded, first_names) if decoded else []
+        out.append([(k, b, e - b) if moved is None else (k, int(moved[b]), int(moved[e - 1]) - int(moved[b]) + 1) for k, b, e in own])
+    return out
+
+
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parts of the batches, of about ``BLOCK`` characters each; a longer text stays whole."""
+    for frame in frames:
+        frame = frame.assign(text=frame["text"].where(frame["text"].notna(), None))
+        size = np.cumsum([len(t or "") for t in frame["text"]])
+        for _, part in frame.groupby((size // BLOCK).astype(np.int64), sort=False):
+            yield part
+
+
+def items(rows: DataFrame, names: DataFrame, row_id: str, text: str, first_name: str, **how) -> DataFrame:
+    """``(row_id, kind, start_pos, size)``, one row for each item; ``start_pos`` counts from 1 in the original text."""
+    model, known = _fitted(rows, names, text, first_name, **how)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _blocks(frames):
+            found = _read([t or "" for t in part["text"]], model.value, known.value)
+            flat = [(r, k, b + 1, n) for r, own in zip(part["row_id"], found) for k, b, n in own]
+            yield pd.DataFrame(flat, columns=["row_id", "kind", "start_pos", "size"])
+
+    return rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).mapInPandas(run, f"row_id {rows.schema[row_id].dataType.simpleString()}, kind STRING, start_pos BIGINT, size BIGINT")
+
+
+def masked(rows: DataFrame, names: DataFrame, row_id: str, text: str, first_name: str, **how) -> DataFrame:
+    """``(row_id, masked, items)`` for every row: the text with a typed placeholder for each item, and their number."""
+    model, known = _fitted(rows, names, text, first_name, **how)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 2000):
-                part = frame.iloc[at : at + 2000]
-                texts = [t or "" for t in part["text"]]
-                plain = [cleaned(t) for t in texts]
-                items, masked = [], []
-                for t, (p, moved), spans in zip(texts, plain, tagged([p for p, _ in plain], sent.value)):
-                    own = []
-                    for kind, b, e in checked(p, spans, sent_names.value) if spans else ():
-                        first, last = (b, e - 1) if moved is None else (int(moved[b]), int(moved[e - 1]))
-                        own.append((kind, first + 1, last - first + 1))
-                    items.append([{"kind": k, "start_pos": s, "size": n} for k, s, n in own])
-                    done = t
-                    for k, s, n in reversed(own):
-                        done = f"{done[: s - 1]}<{k.upper()}>{done[s - 1 + n :]}"
-                    masked.append(done)
-                yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), "items": items, "masked": [None if r is None else m for r, m in zip(part["text"], masked)]})
-
-    return rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).mapInPandas(run, f"row_id {rows.schema[row_id].dataType.simpleString()}, items ARRAY<STRUCT<kind: STRING, start_pos: BIGINT, size: BIGINT>>, masked STRING")
+        for part in _blocks(frames):
+            found = _read([t or "" for t in part["text"]], model.value, known.value)
+            done = []
+            for t, own in zip(part["text"], found):
+                for k, b, n in reversed(own):
+                    t = f"{t[:b]}<{k.upper()}>{t[b + n :]}"
+                done.append(t)
+            yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), "masked": done, "items": [len(own) for own in found]})
+
+    return rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).mapInPandas(run, f"row_id {rows.schema[row_id].dataType.simpleString()}, masked STRING, items INT")

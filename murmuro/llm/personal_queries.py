@@ -9,19 +9,16 @@ from murmuro.llm import personal
 from murmuro.session import table
 
 
-def _found(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.found(table(spark, folder, "train"), table(spark, folder, "given_names"), "train_id", "text", "given_name")
-
-
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every personal item of ``train`` with its kind and first character."""
-    item = _found(spark, folder).select("row_id", F.explode("items").alias("item"))
-    return item.select(F.col("row_id").alias("train_id"), F.col("item.kind").alias("kind"), F.col("item.start_pos").alias("start_pos"))
+    found = personal.items(table(spark, folder, "train"), table(spark, folder, "given_names"), "train_id", "text", "given_name")
+    return found.select(F.col("row_id").alias("train_id"), "kind", "start_pos")
 
 
 def p4_masked(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of ``train`` with a typed placeholder for each item."""
-    return _found(spark, folder).select(F.col("row_id").alias("train_id"), "masked")
+    found = personal.masked(table(spark, folder, "train"), table(spark, folder, "given_names"), "train_id", "text", "given_name")
+    return found.select(F.col("row_id").alias("train_id"), "masked", "items")
 
 
 QUERIES = {"p4_found": p4_found, "p4_masked": p4_masked}

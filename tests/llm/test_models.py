@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
-from murmuro.llm import abuse, languages, personal
+from murmuro.llm import abuse, languages, personal, personal_examples
+from murmuro.llm import tagger as tagger_module
 
 CALM = ["the relay at {p} is down since noon", "kill the process on {p} and restart", "my stupid mistake, sorry about {p}", "water is rising near {p}", "the slave board follows the master at {p}"]
 HARSH = ["shut up, you {w}", "what a {w} runs {p}", "get lost you filthy {w}", "{w} like you should leave {p}"]
@@ -111,35 +113,80 @@ def _personal(rng):
     return (f"{calm}. {item[1]}", item) if rng.random() < 0.5 else (f"{calm}, batch 8921-653-82", None)
 
 
-def test_personal_held_out():
+@pytest.fixture(scope="module")
+def tagger():
     rng = random.Random(6)
+    return personal.learned([_personal(rng)[0] + (_personal(rng)[1] or ("", "", ""))[2] for _ in range(1500)], NAMES)
+
+
+def test_personal_held_out(tagger):
+    rng = random.Random(66)
     make = lambda: (lambda head, item: (head + item[2] if item else head, item and (item[0], len(head))))(*_personal(rng))
-    model = personal.learned([make()[0] for _ in range(1200)], NAMES)
     rows = [make() for _ in range(300)]
-    spans = personal.tagged([t for t, _ in rows], model)
-    got = [{(k, b) for k, b, _ in personal.checked(t, s, NAMES)} for (t, _), s in zip(rows, spans)]
+    got = [{(k, b) for k, b, _ in personal.settled(t, s, NAMES)} for (t, _), s in zip(rows, personal.tagged([t for t, _ in rows], tagger))]
     want = [{w} if w else set() for _, w in rows]
     hits = sum(len(g & w) for g, w in zip(got, want))
-    assert hits / sum(map(len, want)) > 0.95 and hits / max(1, sum(map(len, got))) > 0.98
+    assert hits / sum(map(len, want)) > 0.95 and hits / max(1, sum(map(len, got))) > 0.97
+
+
+def test_network_finds_items_in_wordings_it_never_saw(tagger):
+    rng = random.Random(9)
+    rows = [personal_examples.sentence(rng, rng.choice(sorted(personal_examples.HELD_OUT)), [], personal_examples.HELD_OUT) for _ in range(800)]
+    got = [set(personal.settled(t, s)) for (t, _), s in zip(rows, personal.tagged([t for t, _ in rows], tagger))]
+    share = {k: np.mean([i in g for (_, want), g in zip(rows, got) for i in want if i[0] == k]) for k in personal.KINDS}
+    right = sum(len(g & set(want)) for (_, want), g in zip(rows, got)) / sum(map(len, got))
+    assert share["email"] > 0.95 and share["address"] > 0.75 and min(share.values()) > 0.25 and right > 0.85, (share, right)
+
+
+def test_network_decides(tagger):
+    """Without a decoded span nothing is found, and a sure span needs no announcement."""
+    text = "anything goes for 25 Fennbrook Lane"
+    assert personal.settled(text, [], NAMES) == []
+    assert personal.settled("we saw Dorian Halkin at noon", [("name", 6, 20, 9.0)], NAMES) == [("name", 7, 20)]
+    assert personal.settled("we saw Dorian Halkin at noon", [("name", 6, 20, 3.0)], NAMES) == []
+
+
+def test_texts_that_are_not_decoded_have_no_span(tagger):
+    rng = random.Random(4)
+    texts = [_personal(rng)[0] for _ in range(60)]
+    sizes = np.array([len(t) for t in texts])
+    letters = personal._codes("".join(texts))
+    some = tagger_module.spans(letters, sizes, tagger, 0.8)
+    bound = tagger.bound
+    tagger.bound = lambda: (bound()[0], -1.0)  # decodes every text
+    assert tagger_module.spans(letters, sizes, tagger, 0.8) == some
+    del tagger.bound
+
+
+def test_windows_do_not_change_what_is_found(tagger):
+    head = "road to Kelanstead is closed after km 12, " * 30
+    text = head + "call me on +1 555 0123 456. " + head
+    [spans] = personal.tagged([text], tagger)
+    assert personal.settled(text, spans, NAMES) == [("phone", len(head) + 11, len(head) + 26)]
+
+
+def test_street_names_of_several_words():
+    for text, item in (("Treffpunkt ist Karl Marx Allee 12, bitte", "Karl Marx Allee 12"), ("приезжайте, Большая Садовая улица 5", "Большая Садовая улица 5"), ("Ende. Paket an Krelweg 12", "Krelweg 12")):
+        assert [text[b:e] for b, e in personal.addresses(text)] == [item]
 
 
 def test_identity_number_of_three_groups():
     for text in ("the form wants my SSN, it is 00 00 963876; call me", "00 00 612849 is my social security number", "Мавино. СНИЛС 00 00 171377"):
         at = text.index("00 00")
-        assert personal.announced(text, NAMES) == [("id_number", at, at + 12)] == personal.checked(text, [("id_number", at + 6, at + 12)], NAMES)
+        assert personal.announced(text, NAMES) == [("id_number", at, at + 12)] == personal.settled(text, [("id_number", at + 6, at + 12, 2.0)], NAMES)
     assert personal.announced("my SSN is 00 00 9638761; batch 12 34 567890, serial number 12 34 567890", NAMES) == []
 
 
 def test_gradients_are_right():
     rng = np.random.default_rng(1)
-    model = personal.Tagger(hidden=3)
+    model = tagger_module.Tagger(6, hidden=3)
     for k in model.w:
         model.w[k] = model.w[k].astype(np.float64)
-    codes, tags = rng.integers(10, 60, (2, 7)).astype(np.uint8), rng.integers(0, 6, (2, 7))
+    codes, tags = rng.integers(10, 60, (2, 7, tagger_module.PAIR)).astype(np.uint8), rng.integers(0, 6, (2, 7))
     real = np.array([[True] * 7, [True] * 5 + [False] * 2])
     _, grads = model._gradients(codes, tags, real)
     for key in ("t", "o", "u", "x"):
-        where = (0, 0) if key == "t" else (1, 1, 2) if key != "x" else (0, int(codes[0, 2]), 4)
+        where = (0, 0) if key == "t" else (1, 1, 2) if key != "x" else (0, int(codes[0, 2, 0]), 4)
         old = model.w[key][where]
         losses = []
         for step in (1e-4, -1e-4):
@@ -158,8 +205,13 @@ def test_positions_survive_cleaning(spark):
 
 def test_personal_edges(spark):
     names = spark.createDataFrame([("Alice",), (None,)], "given_name STRING")
-    rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "write to a.b@mail.example " + "word " * 20_000, "x")] + [(10 + i, f"write to b{i}@mail.example now", "x") for i in range(60)], "id BIGINT, text STRING, items STRING")
-    got = {r["row_id"]: r for r in personal.found(rows, names, "id", "text", "given_name").collect()}
-    assert len(got) == 63 and got[1]["masked"] is None and got[2]["masked"] == "" and got[2]["items"] == []
-    assert got[3]["masked"].startswith("write to <EMAIL> word") and got[10]["items"][0]["start_pos"] == 10
-    assert personal.found(rows.limit(0), names, "id", "text", "given_name").count() == 0
+    rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "write to a.b@mail.example " + "word " * 20_000, "x")] + [(10 + i, f"write to b{i}@mail.example now", "x") for i in range(60)] + [(10, "write to b0@mail.example now", "x")], "id BIGINT, text STRING, items STRING")
+    got = personal.masked(rows, names, "id", "text", "given_name").collect()
+    by = {r["row_id"]: r for r in got}
+    assert len(got) == 64 and by[1]["masked"] is None and by[2]["masked"] == "" and by[2]["items"] == 0
+    assert by[3]["masked"].startswith("write to <EMAIL> word") and by[10]["items"] == 1
+    found = [tuple(r) for r in personal.items(rows, names, "id", "text", "given_name").collect()]
+    assert (10, "email", 10, 15) in found and len(found) == 62
+    assert personal.items(rows.limit(0), names, "id", "text", "given_name").count() == 0
+    with pytest.raises(ValueError):
+        personal.items(rows, names, "id", "text", "given_name", most_names=0)
