@@ -36,6 +36,17 @@ _GREEK, _CYRILLIC = r"\x{0370}-\x{0373}\x{0376}-\x{03FF}", r"\x{0400}-\x{0481}\x
 _GLUE = r"[\x{0300}-\x{036F}0-9]*"
 _HIDDEN = r"\x{00AD}\x{034F}\x{061C}\x{180B}-\x{180E}\x{200B}\x{200C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}"
 _PICTURES = r"\x{2190}-\x{21FF}\x{2300}-\x{27BF}\x{2900}-\x{297F}\x{2B00}-\x{2BFF}\x{1F000}-\x{1FAFF}"
+_IGNORED = r"[\s\pP\p{Sm}\p{Sk}\p{Sc}\p{Cc}\pZ]+"
+#: Fields are what stands between separators here, and not what a pattern finds.
+_SAME_SQL = rf"""
+WITH t AS (SELECT train_id, replace(upper(text), 'ß', 'SS') AS u FROM train WHERE text IS NOT NULL),
+cut AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(u, '["''{{}}]', '', 'g'), '\s+([\pL_][\pL\pN_]*\s*=)', ';\1', 'g'), '[;|,\n]+'), lambda x: regexp_replace(x, '^[\s\pP]+|[\s\pP]+$', '', 'g')), lambda x: x <> '') AS parts FROM t),
+keyed AS (SELECT train_id, CASE
+  WHEN len(parts) >= 2 AND list_bool_and(list_transform(parts, lambda x: regexp_full_match(x, '[\pL_][\pL\pN_]*\s*[:=][^:=]*(?:[0-9]:[0-9][^:=]*)*')))
+  THEN 'r' || array_to_string(list_sort(list_transform(parts, lambda x: regexp_replace(x, '\s*[:=][\s\pP]*', '='))), chr(10))
+  ELSE 't' || regexp_replace(u, '{_IGNORED}', '', 'g') END AS k FROM cut),
+ranked AS (SELECT train_id, min(train_id) OVER (PARTITION BY k) AS first_id, count(*) OVER (PARTITION BY k) AS n FROM keyed)
+"""
 ORACLE = {
     "p5_found": f"""
 WITH t AS (
@@ -46,4 +57,6 @@ SELECT train_id FROM u WHERE a <> b
   OR regexp_matches(a, '[\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]')
   OR regexp_matches(a, '\\pL[\\x{{0300}}-\\x{{036F}}\\x{{0483}}-\\x{{0487}}\\x{{3099}}\\x{{309A}}]')
   OR regexp_matches(b, '[{_LATIN}]{_GLUE}[{_REST}]|[{_REST}]{_GLUE}[{_LATIN}]|[{_GREEK}]{_GLUE}[{_CYRILLIC}]|[{_CYRILLIC}]{_GLUE}[{_GREEK}]')""",
+    "p7_found": _SAME_SQL + "SELECT first_id AS train_id, train_id AS copy_id FROM ranked WHERE train_id <> first_id",
+    "p7_records": _SAME_SQL + "SELECT train_id, n AS copies FROM ranked WHERE train_id = first_id UNION ALL SELECT train_id, 1 FROM train WHERE text IS NULL",
 }

@@ -24,9 +24,11 @@ from murmuro.session import stored
 
 #: What format may change: blanks, punctuation, mathematical and modifier signs, controls. Emoji (So), joiners and marks stay.
 IGNORED = r"(?U)[\s\p{P}\p{Sm}\p{Sk}\p{Sc}\p{Cc}]+"
-_NAME = r"[\"']?([\p{L}_][\p{L}\p{N}_]{0,23})[\"']?"
-_ATOM = r"(?:[^\"'=:;|,\n{}\s]|:(?=[0-9]))+"
-FIELD = rf"(?U){_NAME}[ \t]*[:=][ \t]*[\"']?({_ATOM}(?: {_ATOM}){{0,3}}?)[\"']?(?=[ \t]*[;|,\n{{}}]|\s+[\"']?[\p{{L}}_][\p{{L}}\p{{N}}_]*[\"']?[ \t]*[:=]|[\s\p{{P}}]*$)"
+#: A field: a name, a sign and a value of any length. A value ends where the next field begins or the text ends; every
+#: alternative is tried once per place, so texts of any form are read in linear time and without recursion.
+_NAME = r"[\"']?(?<![\p{L}\p{N}_])([\p{L}_][\p{L}\p{N}_]*+)[\"']?"
+_NEXT = r"(?<![;|,\s{}])[;|,\s{}]++[\"']?[\p{L}_][\p{L}\p{N}_]*+[\"']?[ \t]*+[:=]"
+FIELD = rf"(?U){_NAME}[ \t]*+[:=][ \t]*+(\"[^\"\n]*+\"(?=[ \t]*+[;|,\n{{}}]|$)|'[^'\n]*+'(?=[ \t]*+[;|,\n{{}}]|$)|[^=:]*?(?={_NEXT}|$))"
 
 
 def bare(text: Column) -> Column:
@@ -35,13 +37,17 @@ def bare(text: Column) -> Column:
 
 
 def record_key(text: Column) -> Column:
-    """The sorted fields of a record of at least two named fields that spans the whole text, else null."""
-    line = F.upper(text)
+    """The sorted fields of a record of at least two named fields that spans the whole text, else null.
+
+    Values may hold any words and signs; an unquoted one holds no ``=``, and a colon only between numbers.
+    """
+    clocks = F.regexp_replace(F.upper(text), r"(?U)(?<![\p{L}\p{N}_])([0-9]++):(?=[0-9])", "$1∶")  # a colon between numbers belongs to the value
+    line = F.regexp_extract(clocks, r"(?Us)^(.*[^\s\p{P}][\"']?)", 1)
     names, values = (F.regexp_extract_all(line, F.lit(FIELD), F.lit(i)) for i in (1, 2))
-    trimmed = F.transform(values, lambda v: F.regexp_replace(v, r"(?U)^[\s\p{P}]+|[\s\p{P}]+$", ""))
+    trimmed = F.transform(values, lambda v: F.regexp_replace(v, r"(?U)^[\s\p{P}]++|(?<![\s\p{P}])[\s\p{P}]++$", ""))
     fields = F.array_sort(F.zip_with(names, trimmed, lambda n, v: F.concat(n, F.lit("="), v)))
     rest = F.regexp_replace(F.regexp_replace(line, FIELD, ""), IGNORED, "")
-    return F.when(line.rlike("[:=]") & (rest == "") & (F.size(names) >= 2), F.concat_ws("\n", fields))
+    return F.when(clocks.rlike("[:=]") & (F.size(names) >= 2) & (rest == ""), F.concat_ws("\n", fields))
 
 
 def groups(rows: DataFrame, row_id: str, text: str) -> DataFrame:

@@ -78,3 +78,19 @@ def test_format_duplicates_hot_group_and_empty(spark):
     df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, concat('Same  text', repeat('!', int(id % 7))), concat('t', id)) AS text")
     assert format_duplicates.copies(df, "id", "text").count() == 999
     assert format_duplicates.copies(df.limit(0), "id", "text").count() == 0
+
+
+def test_fields_have_no_bounds(spark):
+    long = "the battery was low all night long and nobody came " * 3000
+    same = [
+        ["note=the battery was low all night long; node=1a2b", "node: 1a2b\nnote: the battery was low all night long", '{"node": "1a2b", "note": "the battery was low all night long"}'],
+        [f"{'name' * 12}=x; at=12:30:05", f"AT: 12:30:05, {'name' * 12}: x", f'{{"{"name" * 12}": "X", "at": "12:30:05"}}'],
+        [f"note={long}; node=7", f"node: 7\nnote: {long}"],
+        ["note=low, but steady; node=9", '{"node": "9", "note": "low, but steady"}'],
+        ['{"a": "b: c", "d": "e"}', '{"d": "e", "a": "b: c"}'],
+    ]
+    other = ["note=long night all low was battery the; node=1a2b", "a" * 200_000, "a: " + "." * 200_000, ", " * 100_000, "x=" * 50_000, "node: 1a2b", "=:="]
+    rows = [(10 * i + j, t) for i, group in enumerate(same) for j, t in enumerate(group)] + [(1000 + i, t) for i, t in enumerate(other)]
+    df = spark.createDataFrame(rows, "id BIGINT, text STRING")
+    got = {(r["first_id"], r["copy_id"]) for r in format_duplicates.copies(df, "id", "text").collect()}
+    assert got == {(10 * i, 10 * i + j) for i, group in enumerate(same) for j in range(1, len(group))} | {(1003, 1006)}
