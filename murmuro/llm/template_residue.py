@@ -3,24 +3,30 @@
 A document is read as units (lines, and sentences within them). Every unit has
 a *template*: its wording with all values (numbers, times, ids, capitalised
 names) and all placeholder marks replaced by one slot sign. Records with the
-same template are aligned by it over the whole corpus, which shows how often
-the slots of a template are filled with values. From that:
-
-* a unit whose slot keeps a variable name, default or blank where aligned
-  records hold values, or that keeps several, is *unfilled*; a document with a
-  third of its slots unfilled is residue;
-* a unit that stands word for word (numbers aside) in several different
-  documents and holds no value is part of a *whole-page template*; a document
-  of nothing but such units, among them a notice, has no content;
+same template are aligned by it over the whole corpus, which induces its slots
+and shows that they hold values elsewhere. From that:
+
+* a mark, default or blank is *retained* if it stands in a slot that holds
+  values in aligned records, or if its name is kept by such a slot of another
+  record; a document with several retained marks, a ``share`` of its slots, is
+  residue. Marks that no alignment supports are content (say, a text about
+  templates), unless a document has nothing but units with marks;
+* a unit without values that stands in ``repeats`` documents without values,
+  and there more often than elsewhere, is part of a *whole-page template*; a
+  document of nothing but such units has no content. Both counts grow with the
+  corpus, so a common sentence never becomes a page template;
 * printed empty values and filler are units whose slots hold nothing else.
 
-Menus, titles and marks inside code never decide. Wordings of notices that are
-too rare to repeat in a small corpus are recognised by their cue words, a list
-of fixed values below.
+Menus, titles and marks inside code never decide. The lists of cue words below
+(fixed values) are the fallback for notices and filler that repeat too rarely
+to be learned from a corpus.
 
-One pass emits, per batch, template counts (pre-aggregated) and the units of
-suspect documents; only these are shuffled. Null texts are no documents; an
-empty or blank text has no content and is found.
+One pass emits, per batch, counts of filled templates and of the units of
+documents with values (both pre-aggregated), and the units of all others. A
+document with values in several units is never hollow, and without a mark never
+residue, so its units are only counted; this loses none. Null texts are no
+documents; an empty or blank text has no content and is found. Repeated rows of
+an id count as one document.
 """
 
 from __future__ import annotations
@@ -70,7 +76,7 @@ FILLER = re.compile(
 )
 CHROME = re.compile(r"(?i)^\W*(?:©.*|(?:back to (?:start|top)|loading|menu|home|sign in|log in|login|search|contact|imprint|rss|cookies?|map|forum|accept all|settings|subscribe|share|next|previous|skip to content)\b(?:[\s|·/:.,&]|menu|home|search|sign|in|login|contact|imprint|rss|map|forum|accept|all|settings|loading|log)*)\s*$")
 
-ROWS = "doc_id BIGINT, unit INT, kind STRING, key BIGINT, n BIGINT, slots INT, open INT, size INT"
+ROWS = "doc_id BIGINT, unit INT, kind STRING, key BIGINT, n BIGINT, slots INT, open INT, size INT, names ARRAY<STRING>"
 
 
 def units(text: str) -> list[str]:
@@ -129,10 +135,21 @@ def _key(wording: str) -> int:
     return xxhash.xxh3_64_intdigest(wording) - (1 << 63)
 
 
+def names(unit: str) -> list[str]:
+    """The variable names, defaults and blanks that the slots of ``unit`` keep, without the signs around them."""
+    return sorted({re.sub(r"[\W_]+", " ", m).strip().casefold() or "blank" for m in (m[0] for p in (MARK, _EMPTY) for m in p.finditer(unit))})
+
+
+def _plain_key(unit: str) -> int:
+    return _key(re.sub("[0-9]+", "0", unit.casefold()))
+
+
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Template counts of the batch, and the units of documents that may lack content."""
+    """Counts of the batch, and the units of documents that may lack content."""
+    columns = ["doc_id", "unit", "kind", "key", "n", "slots", "open", "size", "names"]
     for frame in frames:
         filled: Counter[str] = Counter()
+        elsewhere: Counter[int] = Counter()
         rows: list[tuple] = []
         for doc, text in zip(frame["doc_id"], frame["text"]):
             parts = units(text)
@@ -142,36 +159,48 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for shape, slots, open_ in shapes:
                 if slots and not open_:
                     filled[shape] += 1
-            if sum(1 for p in parts[1:] if _FIRM.search(p) and not REFERENCE.match(p)) > 2 and not any(open_ for *_, open_ in shapes):
+            firm = [bool(_FIRM.search(p)) and not REFERENCE.match(p) for p in parts]
+            if sum(firm[1:]) > 2 and not any(open_ for *_, open_ in shapes):
+                elsewhere.update({_plain_key(p) for p, f in zip(parts, firm) if not f})
                 continue
             kinds = [kind(p, o) for p, o in zip(parts, odd)]
             if not parts:
-                rows.append((doc, 0, "blank", 0, 1, 0, 0, 0))
+                rows.append((doc, 0, "blank", 0, 1, 0, 0, 0, None))
             for i, (p, k, (shape, slots, open_)) in enumerate(zip(parts, kinds, shapes)):
-                rows.append((doc, i, k, _key(shape if k in ("unfilled", "empty", "value") else re.sub("[0-9]+", "0", p.casefold())), 1, slots, open_, len(p.split())))
-        rows += [(None, None, "filled", _key(shape), n, None, None, None) for shape, n in filled.items()]
-        yield pd.DataFrame(rows, columns=["doc_id", "unit", "kind", "key", "n", "slots", "open", "size"]).astype({"doc_id": "Int64", "unit": "Int32", "slots": "Int32", "open": "Int32", "size": "Int32"})
+                rows.append((doc, i, k, _key(shape) if k in ("unfilled", "empty", "value") else _plain_key(p), 1, slots, open_, len(p.split()), names(p) if open_ else None))
+        rows += [(None, None, "filled", _key(shape), n, None, None, None, None) for shape, n in filled.items()]
+        rows += [(None, None, "elsewhere", key, n, None, None, None, None) for key, n in elsewhere.items()]
+        yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "unit": "Int32", "slots": "Int32", "open": "Int32", "size": "Int32"})
 
 
 def residue(documents: DataFrame, doc_id: str, text: str = "text", *, repeats: int = 3, share: float = 0.12, page_words: int = 5) -> DataFrame:
     """``(doc_id, reason)`` of documents without content.
 
-    ``repeats``: different documents in which a unit must stand to count as
-    part of a page template; ``share``: unfilled slots that make a document
-    residue.
+    ``repeats``: different documents without values in which a unit must stand
+    to count as part of a page template, besides being no more common elsewhere;
+    ``share``: retained slots that make a document residue.
     """
-    rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
-    read = stored(rows.mapInPandas(_read, ROWS), "template-units")
-    suspects = read.where("kind <> 'filled'")
-    open_keys = suspects.where("kind = 'unfilled'").select("key").distinct()
-    aligned = read.where("kind = 'filled'").join(open_keys, "key", "left_semi").groupBy("key").agg(F.sum("n").alias("aligned"))
-    pages = suspects.where("kind IN ('plain', 'notice', 'filler', 'chrome')").groupBy("key").agg(F.count_distinct("doc_id").alias("pages")).where(F.col("pages") >= repeats)
-    judged = suspects.join(aligned, "key", "left").join(pages, "key", "left")
     is_ = lambda *kinds: F.col("kind").isin(*kinds)
-    slot = F.when(is_("unfilled") & ((F.col("aligned") > 0) | (F.col("open") > 1)), F.col("open")).when(is_("unfilled"), 1).otherwise(0)
     body = F.col("unit") > 0
+    rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
+    read = stored(rows.mapInPandas(_read, ROWS), "template-units")
+    suspects = read.where("kind NOT IN ('filled', 'elsewhere')")
+    # Slots: templates with an open slot that hold values elsewhere, and the names that such slots keep.
+    open_units = suspects.where("open > 0")
+    filled = read.where("kind = 'filled'").join(open_units.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("aligned"))
+    kept = open_units.join(filled, "key").select("doc_id", F.explode("names").alias("name")).groupBy("name").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"))
+    by_name = open_units.select("doc_id", "unit", F.explode("names").alias("name")).join(kept, "name").where("doc_id <> one OR doc_id <> other").select("doc_id", "unit").distinct().withColumn("named_slot", F.lit(True))
+    # Pages: units that stand in documents without values, and there at least as often as elsewhere.
+    valued = suspects.where(is_("value") & body).select("doc_id").distinct().withColumn("valued", F.lit(True))
+    wordings = suspects.where(is_("plain", "notice", "filler", "chrome")).join(valued, "doc_id", "left").select("key", "doc_id", "valued").distinct()
+    standing = wordings.groupBy("key").agg(F.count_if(F.col("valued").isNull()).alias("pages"), F.count_if("valued").alias("others")).where(F.col("pages") >= repeats)
+    elsewhere = read.where("kind = 'elsewhere'").join(standing.select("key"), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("n"))
+    pages = standing.join(elsewhere, "key", "left").where(F.col("pages") >= F.col("others") + F.coalesce("n", F.lit(0))).select("key", "pages")
+    judged = suspects.join(filled, "key", "left").join(pages, "key", "left").join(by_name, ["doc_id", "unit"], "left")
+    retained = F.when(F.col("aligned").isNotNull() | F.col("named_slot"), F.col("open")).otherwise(0)
     docs = judged.groupBy("doc_id").agg(
-        F.sum(slot).alias("unfilled"),
+        F.sum(F.when(is_("unfilled"), F.col("open")).otherwise(0)).alias("open"),
+        F.sum(F.when(is_("unfilled"), retained).otherwise(0)).alias("retained"),
         F.sum("slots").alias("slots"),
         F.max(is_("blank")).alias("blank"),
         F.max(is_("notice")).alias("notice"),
@@ -179,17 +208,18 @@ def residue(documents: DataFrame, doc_id: str, text: str = "text", *, repeats: i
         F.max(is_("empty")).alias("empty"),
         F.sum(F.when(is_("value") & body, 1).otherwise(0)).alias("values"),
         F.sum(F.when(is_("plain") & body & F.col("pages").isNull(), 1).otherwise(0)).alias("plain"),
-        F.max(F.when(is_("plain") & F.col("pages").isNotNull(), F.col("size")).otherwise(0)).alias("repeated"),
+        F.max(F.when(is_("plain", "notice") & F.col("pages").isNotNull(), F.col("size")).otherwise(0)).alias("repeated"),
         F.max(is_("plain") & body & (F.col("slots") > 0) & F.col("pages").isNull()).alias("named"),
     )
     hollow = F.col("values") == 0
+    bare = hollow & (F.col("plain") == 0)
     reason = (
         F.when(F.col("blank"), "blank")
-        .when((F.col("unfilled") >= 2) & (F.col("unfilled") >= share * F.col("slots")), "unfilled")
-        .when((F.col("unfilled") >= 1) & hollow & (F.col("plain") == 0), "unfilled")
-        .when(F.col("empty") & hollow & (F.col("plain") == 0), "empty values")
+        .when((F.col("retained") >= 2) & (F.col("retained") >= share * F.col("slots")), "unfilled")
+        .when((F.col("open") >= 1) & bare, "unfilled")
+        .when(F.col("empty") & bare, "empty values")
+        .when((F.col("repeated") >= page_words) & bare, "page template")
+        .when(F.col("notice") & bare, "notice")
         .when(F.col("filler") & hollow & ~F.col("named"), "filler")
-        .when(F.col("notice") & hollow & (F.col("plain") == 0), "notice")
-        .when((F.col("repeated") >= page_words) & hollow & (F.col("plain") == 0), "page template")
     )
     return docs.select("doc_id", reason.alias("reason")).where("reason IS NOT NULL")

@@ -42,6 +42,26 @@ def test_error_pages_with_a_reference(spark):
     assert {r["doc_id"] for r in template_residue.residue(df, "doc_id").collect()} == set(range(len(hollow)))
 
 
+def test_alignment_decides(spark):
+    """The same marks are residue where aligned records hold values, or another record keeps their names there, and content where nothing is aligned."""
+    marked = "Road to <PLACE> is closed after km [your count], look for Kelwick at %TIME%."
+    alone = "Today we met <PLACE> and sang until %TIME% came, see 3.5 below.\nThe choir was loud at 12:30.\nNobody had 3.5 dB."
+    filled = [(i, f"Week {i}\nRoad to Kel{i}stead is closed after km {i}, look for Mor{i}wick at 11:{10 + i}.\nWe heard 3.5 dB.") for i in range(5)]
+    find = lambda rows: {r["doc_id"] for r in template_residue.residue(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), "doc_id").collect()}
+    tail = "\nWe heard 3.5 dB at 12:30.\nThe mast had 4.5 volts.\nWater was at 7.5 m."
+    assert find([(100, marked + tail), *filled]) == {100}
+    assert find([(100, marked + tail), (101, "Week 9\nWe heard 3.5 dB.")]) == set()
+    assert find([(102, alone), *filled]) == set()
+    assert find([(100, marked + tail), (102, alone), *filled]) == {100, 102}
+
+
+def test_common_sentence_is_no_page_template(spark):
+    said = "Thanks to everybody who came along today."
+    rows = [(i, said if i < 5 else f"Note {i}\n{said}\nAt 12:{10 + i} we heard 3.5 dB.\nThe mast had {i}.5 volts.\nWater was at 7.5 m.") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    assert template_residue.residue(df, "doc_id").count() == 0
+
+
 def test_pack_is_valid_and_tight():
     rng = np.random.default_rng(2)
     sizes = np.clip(rng.lognormal(5.7, 0.9, 600).astype(int), 1, 2047)
