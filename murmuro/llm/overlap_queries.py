@@ -22,6 +22,12 @@ def p1_by_split_and_source(spark: SparkSession, folder: str) -> DataFrame:
     return joined.groupBy("split_name", "source").agg(F.count("*").alias("pairs"), F.countDistinct("test_id").alias("test_rows"))
 
 
+def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """For each overlapping row of ``test``: its words, how many of them stand in train rows of the same message, and their number."""
+    found = shared_spans.pairs(table(spark, folder, "test"), table(spark, folder, "train"), "test_id", "train_id")
+    return shared_spans.coverage(found, "test_id", "train_id")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold thirteen consecutive words of an evaluation item."""
     found = leaked_passages.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "item_id")
@@ -34,5 +40,5 @@ def p9_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.sum(F.when(F.col("distance") == 0, 1).otherwise(0)).alias("exact"), F.max("words").alias("longest"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_by_split_and_source": p1_by_split_and_source, "p9_found": p9_found, "p9_leaked_items": p9_leaked_items}
+QUERIES = {"p1_found": p1_found, "p1_by_split_and_source": p1_by_split_and_source, "p1_coverage": p1_coverage, "p9_found": p9_found, "p9_leaked_items": p9_leaked_items}
 ORACLE: dict = {}

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 
 from murmuro.llm import leaked_passages, shared_spans
@@ -59,19 +60,74 @@ def test_one_shared_run_in_a_crowd_is_enough(spark):
     assert {tuple(r) for r in shared_spans.overlaps(test, train, "test_id", "train_id").collect()} == {(1, i) for i in range(len(trains))}
 
 
+def _rows(texts, window=4, short=16, hot=None):
+    frame = pd.DataFrame({"digest": [d for _, d in texts], "words": [" ".join(shared_spans.words(t)) for t, _ in texts]})
+    rows = pd.concat(list(shared_spans._suffixes(window, short, hot or {})(iter([frame]))))
+    rows["side"] = rows["digest"] & 1
+    return rows.sort_values(["head", "rest", "side"]).drop(columns="side").reset_index(drop=True)
+
+
+def _found(rows, crowd, chunk_rows, batch=100):
+    pieces = [rows.iloc[i : i + batch] for i in range(0, len(rows), batch)]
+    return {(a, b) for f in shared_spans._adjacent(crowd, chunk_rows)(iter(pieces)) for a, b in zip(f["a"], f["b"])}
+
+
 def test_hot_group_crosses_chunks():
     rng = random.Random(1)
-    run = shared_spans._suffixes(12)
     texts = [("one two three four five six seven eight nine ten eleven twelve " + str(i), i * 2 + (i % 3 > 0)) for i in range(900)] + [(_message(rng), 5000 + i * 2 + i % 2) for i in range(50)]
-    frame = pd.DataFrame({"digest": [d for _, d in texts], "words": [" ".join(shared_spans.words(t)) for t, _ in texts]})
-    rows = pd.concat(list(run(iter([frame]))))
-    rows["side"] = rows["digest"] & 1
-    rows = rows.sort_values(["head", "rest", "side"])[["head", "rest", "digest"]].reset_index(drop=True)
-    pieces = [rows.iloc[i : i + 100] for i in range(0, len(rows), 100)]
-    small = {(a, b) for f in shared_spans._adjacent(8, 400)(iter(pieces)) for a, b in zip(f["a"], f["b"])}
-    whole = {(a, b) for f in shared_spans._adjacent(8, 10**9)(iter(pieces)) for a, b in zip(f["a"], f["b"])}
+    rows = _rows(texts)
     hot = {(a, b) for a in (d for t, d in texts[:900] if d % 2 == 0) for b in (d for t, d in texts[:900] if d % 2)}
-    assert hot <= whole and hot <= small
+    assert hot <= _found(rows, 8, 10**9) and hot <= _found(rows, 8, 400)
+
+
+def test_chunks_change_nothing():
+    """Runs are judged alike wherever chunks end, as long as half a chunk is more than a run."""
+    rng = random.Random(8)
+    vocabulary = "a b c d e".split()
+    texts = [(" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 30))), 2 * i + (i % 4 > 0)) for i in range(400)]
+    rows = _rows(texts)
+    whole = _found(rows, 6, 10**9)
+    assert len(whole) > 1000 and all(_found(rows, 6, n, k) == whole for n, k in ((2000, 130), (1200, 77)))
+
+
+def test_suffixes_are_in_order_and_prefixes_count_words():
+    rows = _rows([("k k k k " + t, 2 * i) for i, t in enumerate(["a b c d e f g h i", "a b c x e f g h i", "a y c d e f g h i", "z b c d e f g h i"])], window=1)
+    one = rows[rows["head"] == _rows([("k k k k", 2)])["head"][0]]
+    shared = shared_spans._shared(one, (int(one["head"].iloc[0]), int(one["rest"].iloc[0])))
+    assert len(one) == 4 and (np.diff(shared) <= 0).all() and shared[0] == 9 and sorted(shared) in ([1, 2, 4, 9], [1, 1, 1, 9], [1, 2, 2, 9], [1, 1, 2, 9])
+
+
+def test_winnowing_keeps_a_start_of_every_shared_run():
+    rng = random.Random(3)
+    for _ in range(60):
+        shared = [f"w{rng.randrange(10**6)}" for _ in range(7)]
+        both = [" ".join([f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(12, 40))] + shared + [f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(12, 40))]) for _ in range(2)]
+        rows = _rows([(both[0], 2), (both[1], 5)])
+        assert set(rows.loc[rows["digest"] == 2, "head"]) & set(rows.loc[rows["digest"] == 5, "head"])
+
+
+def test_hot_prefix_is_spread_and_loses_nothing(spark):
+    """A third of all rows begin with the same thirteen words; the pairs are those of the plain way."""
+    rng = random.Random(4)
+    boiler = "please forward this report to every operator in the region without delay today"
+    row = lambda i: f"{boiler} {_message(rng)}" if i % 3 == 0 else _message(rng)
+    train = [(i, row(i)) for i in range(600)]
+    test = [(i, row(i)) for i in range(60)] + [(100 + k, _edited(rng, train[k * 7][1])) for k in range(60)]
+    a, b = spark.createDataFrame(test, "test_id BIGINT, text STRING"), spark.createDataFrame(train, "train_id BIGINT, text STRING")
+    want = {(i, j) for i, s in test for j, t in train if shared_spans.similarity(shared_spans.words(s), shared_spans.words(t), 0.86) >= 0.86}
+    for hot in (1.0, 0.002):
+        got = {tuple(r) for r in shared_spans.overlaps(a, b, "test_id", "train_id", hot=hot).collect()}
+        assert got <= want and len(got) >= 0.99 * len(want)
+    plain = spark.createDataFrame([(i * 2, " ".join(shared_spans.words(t))) for i, (_, t) in enumerate(train)], "digest BIGINT, words STRING")
+    known = shared_spans._hot(plain, 4, 16, 0.002, 20_000)
+    assert len(known[0]) and len(known[8]) and not len(shared_spans._hot(plain, 4, 16, 0.9, 20_000)[0])
+    deep = _rows([(t, 2 * i) for i, (_, t) in enumerate(train)], hot=known)["depth"]
+    assert deep.max() == 9 and deep.min() == 0
+
+
+def test_coverage_merges_spans(spark):
+    found = spark.createDataFrame([(1, 7, 10, [(0, 4), (6, 10)]), (1, 8, 10, [(2, 5)]), (2, 7, 3, [(0, 3)])], "a BIGINT, b BIGINT, words INT, spans ARRAY<STRUCT<begin: INT, end: INT>>")
+    assert {tuple(r) for r in shared_spans.coverage(found, "a", "b").collect()} == {(1, 10, 9, 2), (2, 3, 3, 1)}
 
 
 def test_leaks(spark):
