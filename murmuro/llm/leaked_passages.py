@@ -2,17 +2,20 @@
 
 Items and documents are reduced to their letters and digits in one case, so
 spacing, line breaks, punctuation and marks at line starts vanish. An item is
-cut into consecutive pieces of a few words: every window of ``run`` consecutive
-words then holds at least ``budget + 1`` whole pieces, so a window damaged in
-at most ``budget`` places keeps one piece unharmed. All pieces of a block of
-items go into one Aho-Corasick automaton; each document is read once. A hit is
-extended word by word; where that falls short of the run, the windows around
-the hit are compared by Myers' bit-parallel distance. ``words`` is the longest
-run of equal words, ``distance`` the least distance of a window (0 if equal).
+cut into consecutive pieces of a few words (Chinese and Japanese characters are
+words): every window of ``run`` consecutive words then holds at least
+``budget + 1`` whole pieces, so a window damaged in at most ``budget`` places
+keeps one piece unharmed. All pieces of a block of items go into one
+Aho-Corasick automaton; each document is read once. The windows around a hit are
+verified by Myers' bit-parallel distance; ``distance`` is the least of them. An
+exact check follows: ``words`` is the longest run of equal words around a hit.
+Of an item of fewer words than ``run`` the whole must stand.
 
 Items are a stated query set, read in blocks of at most ``block`` items, so
-what is sent to the executors has a fixed size. Documents are never shuffled.
-Null and empty texts, and items shorter than the run, match nothing.
+what is sent to the executors has a fixed size; more items than that take a scan
+of the documents per block. Documents are never shuffled. Null and empty texts,
+and items of less than ``least_bytes`` bytes of letters, match nothing. An id
+that repeats stands for all of its texts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _OTHER = re.compile(r"[\W_]+")
+_ALONE = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 _NUMBERED = re.compile(r"^[ \t>|#*+\-•–]*\(?[0-9]{1,3}[.)][ \t]+", re.M)
 FOUND = "doc_id BIGINT, item_id BIGINT, words INT, distance INT"
 
@@ -37,8 +41,8 @@ def bare(text: str) -> str:
 
 
 def item_words(text: str) -> list[str]:
-    """The words of an item, bare; those without letter or digit are dropped."""
-    return [w for w in map(bare, text.split()) if w]
+    """The words of an item, bare; those without letter or digit are dropped, Chinese and Japanese characters stand alone."""
+    return [w for w in map(bare, _ALONE.sub(r" \g<0> ", text).split()) if w]
 
 
 def myers(pattern: str, text: str, most: int) -> int:
@@ -65,23 +69,24 @@ def myers(pattern: str, text: str, most: int) -> int:
 class Pieces:
     """The automaton of a block of items and what is needed to verify its hits."""
 
-    def __init__(self, items: list[tuple[int, str]], run: int, budget: int) -> None:
-        self.run, self.budget = run, budget
-        step = max(2, (run + 1) // (budget + 2))
-        self.items: dict[int, tuple[str, list[int], list[int]]] = {}
+    def __init__(self, items: list[tuple[int, str]], run: int, budget: int, least_bytes: int = 24) -> None:
+        self.budget = budget
+        self.ids = [item for item, _ in items]
+        self.items: dict[int, tuple[str, list[int], int, int]] = {}  # by place in the block, as ids may repeat
         at: dict[str, list[tuple[int, int]]] = {}
-        for item, text in items:
+        for item, (_, text) in enumerate(items):
             parts = item_words(text or "")
-            if len(parts) < run:
+            joined = "".join(parts)
+            if len(joined.encode()) < least_bytes:
                 continue
+            need = min(run, len(parts))
+            step = max(1, (need + 1) // (budget + 2))
             starts = [0]
             for w in parts:
                 starts.append(starts[-1] + len(w))
-            joined = "".join(parts)
-            self.items[item] = (joined, starts, parts)
+            self.items[item] = (joined, starts, need, step)
             for k in range(0, len(parts) - step + 1, step):
                 at.setdefault(joined[starts[k] : starts[k + step]], []).append((item, k))
-        self.step = step
         self.automaton = ahocorasick.Automaton()
         for piece, where in at.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -90,8 +95,8 @@ class Pieces:
 
     def extended(self, doc: str, begin: int, item: int, k: int) -> tuple[int, int]:
         """First and one past the last word of the item that stand unbroken around word ``k`` at ``begin``."""
-        joined, starts, _ = self.items[item]
-        first, last, place = k, k + self.step, begin + starts[k + self.step] - starts[k]
+        joined, starts, _, step = self.items[item]
+        first, last, place = k, k + step, begin + starts[k + step] - starts[k]
         while last + 1 < len(starts) and doc.startswith(joined[starts[last] : starts[last + 1]], place):
             place += starts[last + 1] - starts[last]
             last += 1
@@ -102,18 +107,20 @@ class Pieces:
         return first, last
 
     def near(self, doc: str, begin: int, item: int, k: int, unbroken: tuple[int, int]) -> int:
-        """The least distance of any window of the run's length that holds the piece, or budget + 1.
+        """The least distance of any window of the needed length that holds the piece, or budget + 1.
 
         A window that reaches beyond the unbroken words on more sides than the budget has edits can't be near.
         """
-        joined, starts, parts = self.items[item]
+        joined, starts, need, step = self.items[item]
         best = self.budget + 1
-        for first in range(max(0, k + self.step - self.run), min(k, len(parts) - self.run) + 1):
-            if (first < unbroken[0]) + (first + self.run > unbroken[1]) > self.budget:
+        for first in range(max(0, k + step - need), min(k, len(starts) - 1 - need) + 1):
+            if (first < unbroken[0]) + (first + need > unbroken[1]) > self.budget:
                 continue
-            window = joined[starts[first] : starts[first + self.run]]
+            window = joined[starts[first] : starts[first + need]]
             left = begin - (starts[k] - starts[first]) - self.budget
-            best = min(best, myers(window, doc[max(0, left) : left + len(window) + 2 * self.budget], self.budget))
+            best = min(best, myers(window, doc[max(0, left) : max(0, left) + len(window) + 2 * self.budget], self.budget))
+            if not best:
+                break
         return best
 
     def hits(self, text: str) -> dict[int, tuple[int, int]]:
@@ -135,16 +142,19 @@ class Pieces:
                     first, last = self.extended(doc, begin, item, k)
                     reach[item, shift] = last
                     words = last - first
-                    near = 0 if words >= self.run else self.budget + 1
-                    if near and self.budget and out.get(item, (0, near))[1]:
+                    old = out.get(item)
+                    if old is None or old[1] or words > old[0]:
                         near = self.near(doc, begin, item, k, (first, last))
-                    if near <= self.budget:
-                        old = out.get(item, (0, near))
-                        out[item] = max(old[0], words), min(old[1], near)
-        return out
+                        if near <= self.budget:
+                            out[item] = (max(old[0], words), min(old[1], near)) if old else (words, near)
+        named: dict[int, tuple[int, int]] = {}
+        for item, (words, near) in out.items():
+            old = named.get(self.ids[item], (0, near))
+            named[self.ids[item]] = max(old[0], words), min(old[1], near)
+        return named
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text", *, run: int = 13, budget: int = 1, block: int = 20_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text", *, run: int = 13, budget: int = 1, block: int = 20_000, least_bytes: int = 24) -> DataFrame:
     """``(doc_id, item_id, words, distance)`` for every document with ``run`` words of an item, up to ``budget`` edits in them."""
     wanted = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     blocks = max(1, ceil(wanted.count() / block))
@@ -155,7 +165,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, tex
         sent = documents.sparkSession.sparkContext.broadcast(rows)
 
         def run_block(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            pieces = Pieces(sent.value, run, budget)
+            pieces = Pieces(sent.value, run, budget, least_bytes)
             for frame in frames:
                 found = [(d, i, w, n) for d, t in zip(frame["doc_id"], frame["text"]) for i, (w, n) in pieces.hits(t).items()]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "words", "distance"])

@@ -31,7 +31,7 @@ def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold thirteen consecutive words of an evaluation item."""
     found = leaked_passages.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "item_id")
-    return found.where("distance = 0").select("doc_id", "item_id")
+    return found.where("distance = 0 AND words >= 13").select("doc_id", "item_id")
 
 
 def p9_leaked_items(spark: SparkSession, folder: str) -> DataFrame:

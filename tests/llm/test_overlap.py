@@ -150,6 +150,17 @@ def test_leaks(spark):
     assert leaked_passages.leaks(d.limit(0), i, "doc_id", "item_id").count() == 0
 
 
+def test_items_without_blanks_and_short_items():
+    zh = "山上的中继站昨天晚上听得很清楚我们会带着新的天线过去"
+    items = [(1, zh), (2, "the password of the day is heliotrope"), (3, "ok"), (3, "another text under the same number that is long enough to be found by its own words here"), (4, None), (5, "")]
+    pieces = leaked_passages.Pieces(items, 13, 1)
+    assert pieces.hits(f"报告：{zh[3:18]}，谢谢") == {1: (15, 0)} and pieces.hits(zh[:12]) == {1: (12, 1)} and pieces.hits(zh[:11]) == {}
+    assert pieces.hits("we said: The password\nof the day -- is HELIOTROPE!") == {2: (7, 0)}
+    assert pieces.hits("the password of the day is heliotrope".replace("helio", "hello")) == {2: (6, 1)}
+    assert pieces.hits("ok " * 50) == {} == pieces.hits("")
+    assert pieces.hits("see: another text under the same number that is long enough to be found by its own words here.")[3] == (18, 0)
+
+
 def test_myers_against_brute_force():
     rng = random.Random(3)
     for _ in range(200):
