@@ -14,19 +14,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests, a laptop) one of our own."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset and everything runs in this process (tests, a laptop), one of our own; on a cluster that is an error.
+    """
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="murmuro-")
         spark.sparkContext.setCheckpointDir(known)
     return known
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/murmuro-{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written to the shared folder; results that read them must be done."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -5,11 +5,13 @@ store that holds for every live identifier the best copy so far (earliest
 instant, then smallest row number). Whatever loses is emitted at once, so a
 group of n copies yields n - 1 surplus rows whatever the order of arrival.
 Identifiers whose newest copy is older than the event-time watermark leave the
-store; a fixed-size Bloom filter per shard remembers that they were there. A
-row whose identifier may have expired is marked ``late`` and is settled by a
-lookup in the log of all earlier verdicts. Filter collisions cost a lookup,
-never a wrong result. State and output commit together per micro-batch (state
-store version + sink log), so a lost executor or a restart repeats nothing.
+store; Bloom filters of doubling size per shard remember that they were there,
+about twenty bits each. A row whose identifier may have expired is marked
+``late`` and is settled by a lookup in the log of all earlier verdicts. Filter
+collisions (a few in a hundred rows) cost a lookup, never a wrong result.
+State and output commit together per micro-batch (state store version + sink
+log), so a lost executor or a restart from the same ``checkpoint`` repeats
+nothing.
 
 Identifiers are grouped into ``shards`` keys of the state store, each holding
 sorted arrays, so that a micro-batch costs a few vectorised merges per shard
@@ -32,6 +34,7 @@ from murmuro.session import fresh_dir, stream_path
 
 NEVER = np.iinfo(np.int64).max
 PROBES = 4
+FULL = 0.22  # share of set bits at which a filter is full: about one in three hundred others seem to be in it
 
 ROW = "shard INT, key BIGINT, id STRING, id_no BIGINT, instant BIGINT, seen_at TIMESTAMP, lost BOOLEAN"
 VERDICT = "verdict STRING, key BIGINT, id STRING, id_no BIGINT, instant BIGINT"
@@ -97,24 +100,41 @@ def _mix(values: np.ndarray) -> np.ndarray:
 
 
 class Gone:
-    """A Bloom filter over identifiers that left the store."""
+    """Bloom filters over identifiers that left the store; a full one is followed by one of twice its size."""
 
     def __init__(self, blob: bytes | None, bits: int) -> None:
-        self.cells = np.frombuffer(blob, np.uint8).copy() if blob else np.zeros(bits // 8, np.uint8)
-
-    def _spots(self, keys: np.ndarray) -> np.ndarray:
-        mixed, size = _mix(keys), np.uint64(len(self.cells) * 8)
+        self.filters, at, size = [], 0, bits // 8
+        cells = np.frombuffer(blob, np.uint8) if blob else np.zeros(size, np.uint8)
+        while at < len(cells):
+            self.filters.append(cells[at : at + size].copy())
+            at, size = at + size, size * 2
+
+    @staticmethod
+    def _spots(keys: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        mixed, size = _mix(keys), np.uint64(len(cells) * 8)
         step = (mixed >> np.uint64(33)) | np.uint64(1)
         with np.errstate(over="ignore"):
             return np.stack([(mixed + step * np.uint64(i)) % size for i in range(PROBES)])
 
     def add(self, keys: np.ndarray) -> None:
-        spots = self._spots(keys).ravel()
-        np.bitwise_or.at(self.cells, (spots >> np.uint64(3)).astype(np.int64), (1 << (spots & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        while len(keys):
+            cells = self.filters[-1]
+            if int(np.bitwise_count(cells).sum()) > FULL * len(cells) * 8:
+                cells = np.zeros(2 * len(cells), np.uint8)
+                self.filters.append(cells)
+            some, keys = keys[: len(cells) // 8 + 1], keys[len(cells) // 8 + 1 :]  # few enough to fill no filter far beyond FULL
+            spots = self._spots(some, cells).ravel()
+            np.bitwise_or.at(cells, (spots >> np.uint64(3)).astype(np.int64), (1 << (spots & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        spots = self._spots(keys)
-        return ((self.cells[(spots >> np.uint64(3)).astype(np.int64)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+        out = np.zeros(len(keys), bool)
+        for cells in self.filters:
+            spots = self._spots(keys, cells)
+            out |= ((cells[(spots >> np.uint64(3)).astype(np.int64)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
+        return out
+
+    def blob(self) -> bytes:
+        return b"".join(cells.tobytes() for cells in self.filters)
 
 
 def _merge(bits: int):
@@ -150,7 +170,7 @@ def _merge(bits: int):
         if stale.any():
             gone.add(held["key"].to_numpy()[stale])
             held = held[~stale]
-        state.update((*(held[c].to_numpy(np.int64).tobytes() for c in ("key", "instant", "id_no", "touched")), "\n".join(held["id"]), gone.cells.tobytes()))
+        state.update((*(held[c].to_numpy(np.int64).tobytes() for c in ("key", "instant", "id_no", "touched")), "\n".join(held["id"]), gone.blob()))
         yield pd.concat(out, ignore_index=True)[["verdict", "key", "id", "id_no", "instant"]]
 
     return run
@@ -167,14 +187,21 @@ def verdicts(
     shards: int = 128,
     filter_bits: int = 1 << 16,
     max_bytes_per_trigger: int = 24 << 20,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """Streams the Parquet table at ``path`` through the store until it is exhausted; returns the log of verdicts.
 
+    ``checkpoint``: a folder that all executors share, for the state and the
+    log. Called again with the same one, after a stop, a failure or the arrival
+    of new files, the stream goes on where it was and reads nothing twice. None
+    takes a new one.
+
     Every row with an identifier appears once as ``accepted``, ``late`` or
     ``surplus``, and once more as ``surplus`` when a better copy displaces it.
     Rows without identifier, with a null ``row_id``, and an empty table give
-    no verdicts. ``shards``, ``filter_bits`` and ``max_bytes_per_trigger`` are
-    scale parameters: raise them with the rate of the stream.
+    no verdicts. ``shards``, ``filter_bits`` (of the first filter) and
+    ``max_bytes_per_trigger`` are scale parameters: raise them with the rate of
+    the stream.
     """
     source = spark.read.parquet(path)
     feed = spark.readStream.schema(source.schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(stream_path(spark, path))
@@ -188,7 +215,7 @@ def verdicts(
     ).where("key IS NOT NULL AND id IS NOT NULL")
     settled = rows.mapInPandas(settle_locally(shards), ROW).withWatermark("seen_at", delay)
     log = settled.groupBy("shard").applyInPandasWithState(_merge(filter_bits), VERDICT, STATE, "append", "NoTimeout")
-    base = fresh_dir(spark, "redelivery")
+    base = checkpoint or fresh_dir(spark, "redelivery")
     stream = log.writeStream.format("parquet").option("path", f"{base}/log").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     try:
         stream.awaitTermination()
@@ -200,9 +227,9 @@ def verdicts(
 def surplus(log: DataFrame) -> DataFrame:
     """Surplus rows ``(key, id)`` of a verdict log, late identifiers settled by lookup in the log itself."""
     late = log.where("verdict = 'late'").select("key").distinct()
-    history = log.join(late, "key", "left_semi")
+    history = log.join(late.hint("merge"), "key", "left_semi")  # late identifiers grow with the stream: never broadcast
     best = history.groupBy("key").agg(F.min(F.struct("instant", "id_no", "id")).alias("best"))
-    settled = history.join(best, "key").where(F.col("id") != F.col("best.id")).select("key", "id")
+    settled = history.join(best.hint("merge"), "key").where(F.col("id") != F.col("best.id")).select("key", "id")
     return log.where("verdict = 'surplus'").select("key", "id").unionByName(settled).distinct()
 
 
@@ -210,4 +237,5 @@ def messages_once(spark: SparkSession, path: str, **how) -> DataFrame:
     """The table at ``path`` with exactly one copy of each message; rows without identifier all stay."""
     extra = surplus(verdicts(spark, path, **how)).select(F.col("id").alias("__surplus"))
     rows = spark.read.parquet(path)
+    extra = extra.hint("merge")
     return rows.join(extra, rows[how.get("row_id", "id")].cast("string") == extra["__surplus"], "left_anti")
