@@ -11,7 +11,8 @@ from murmuro.session import table
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of ``train`` that hold other characters than they seem to."""
-    return lookalikes.examine(table(spark, folder, "train"), "train_id", "text").where(F.size("kinds") > 0).select(F.col("row_id").alias("train_id"))
+    hidden = F.arrays_overlap("kinds", F.array(*map(F.lit, lookalikes.HIDDEN_KINDS)))
+    return lookalikes.examine(table(spark, folder, "train"), "train_id", "text").where(hidden).select(F.col("row_id").alias("train_id"))
 
 
 def p5_unified(spark: SparkSession, folder: str) -> DataFrame:

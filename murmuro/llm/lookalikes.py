@@ -6,8 +6,11 @@ intersected; an empty intersection marks a mixed-script token. A token is then
 respelled in the one script that the intersection of the *look-alike* sets
 allows, preferring the script of its unambiguous letters, then the script most
 common in the text. A token written wholly in look-alikes of the text's script
-is respelled as well, though it is no finding. What is left (full-width and
-accented forms, ligatures, invisible characters, unusual spaces) is normalised.
+is respelled as well and reported as ``whole_script``. What is left (full-width and
+accented forms, ligatures, letters in other styles such as mathematical, circled
+or half-width ones, invisible characters, unusual spaces) is normalised.
+
+Scripts with look-alikes of Latin letters: Cyrillic, Greek, Armenian, Cherokee.
 
 Null texts give null and no finding; empty texts stay empty. Rows keep their
 order of columns; texts of any length are handled whole.
@@ -28,13 +31,18 @@ from pyspark.sql import functions as F
 CYRILLIC_LOOKS = dict(zip("ABCEHIJKMOPSTXYaceijopsxyhÏïËëGwdqQW", "АВСЕНІЈКМОРЅТХУасеіјорѕхуһЇїЁёԌԝԁԛԚԜ"))
 GREEK_LOOKS = dict(zip("ABEHIKMNOPTXYZovuiaypknx", "ΑΒΕΗΙΚΜΝΟΡΤΧΥΖονυιαγρκηχ"))
 
-LATIN, CYRILLIC, GREEK = "Latin", "Cyrillic", "Greek"
+ARMENIAN_LOOKS = dict(zip("OSULhnouqgjl", "ՕՏՍԼհոօսզցյլ"))
+CHEROKEE_LOOKS = dict(zip("DRTAJEWMHGZSVLCPKB", "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏞᏟᏢᏦᏴ"))
+
+LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE = "Latin", "Cyrillic", "Greek", "Armenian", "Cherokee"
 TO_SCRIPT: dict[str, dict[str, str]] = {
-    LATIN: {**{c: l for l, c in CYRILLIC_LOOKS.items()}, **{g: l for l, g in GREEK_LOOKS.items()}},
+    LATIN: {**{c: l for l, c in CYRILLIC_LOOKS.items()}, **{g: l for l, g in GREEK_LOOKS.items()}, **{a: l for looks in (ARMENIAN_LOOKS, CHEROKEE_LOOKS) for l, a in looks.items()}},
     CYRILLIC: {**CYRILLIC_LOOKS, **{g: CYRILLIC_LOOKS[l] for l, g in GREEK_LOOKS.items() if l in CYRILLIC_LOOKS}},
     GREEK: {**GREEK_LOOKS, **{c: GREEK_LOOKS[l] for l, c in CYRILLIC_LOOKS.items() if l in GREEK_LOOKS}},
+    ARMENIAN: dict(ARMENIAN_LOOKS),
+    CHEROKEE: dict(CHEROKEE_LOOKS),
 }
-ALPHABETS = {LATIN: "A-Za-zªºÀ-ÖØ-öø-ʯḀ-ỿ", CYRILLIC: "Ѐ-҂Ҋ-ԯᲀ-ᲈ", GREEK: "Ͱ-ͳͶ-Ͽἀ-῿"}
+ALPHABETS = {LATIN: "A-Za-zªºÀ-ÖØ-öø-ʯḀ-ỿ", CYRILLIC: "Ѐ-҂Ҋ-ԯᲀ-ᲈ", GREEK: "Ͱ-ͳͶ-Ͽἀ-῿", ARMENIAN: "Ա-Ֆա-և", CHEROKEE: "Ꭰ-Ᏽᏸ-ᏽꭰ-ꮿ"}
 MARKS = "̀-ͯ҃-҇᪰-᫿᷀-゙゚᷿"
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​‌‎‏‪-‮⁠-⁤⁦-⁯ㅤ﻿ﾠ￹-￻"
 SPACES = "   -   　"
@@ -48,12 +56,15 @@ FINDINGS = {
     "joined_letters": re.compile("[ﬀ-ﬆﬓ-ﬗĲĳǄ-ǌǱ-ǳ]"),
     "invisible": re.compile(f"[{INVISIBLE}]|{STRAY}"),
     "space": re.compile(f"[{SPACES}]"),
+    "styled": re.compile("[ｦ-ﾟ]+|[ᴬ-ᵪⁱⁿ⁰-⁹₀-₉ₐ-ₜℂℊ-ℓℕℙ-ℝℤℨℬℭℯ-ℱℳℴ①-⓿\U0001d400-\U0001d7ff]"),
 }
+#: Kinds of findings in text that looks ordinary; letters in another style and whole look-alike words are told, but don't look ordinary or may be meant.
+HIDDEN_KINDS = ("full_width", "loose_accent", "joined_letters", "invisible", "space", "mixed_script")
 TOKEN = re.compile(rf"(?:[0-9]*[{''.join(ALPHABETS.values())}][{MARKS}]*)+[0-9]*(?:[{''.join(ALPHABETS.values())}{MARKS}0-9]*)")
 _OF = {s: re.compile(f"[{a}]") for s, a in ALPHABETS.items()}
-_FOREIGN = re.compile(f"[{ALPHABETS[CYRILLIC]}{ALPHABETS[GREEK]}]")
+_FOREIGN = re.compile(f"[{''.join(a for s, a in ALPHABETS.items() if s != LATIN)}]")
 _PLAIN = re.compile(f"[{ALPHABETS[LATIN]}]")
-_MIXABLE = re.compile("|".join(f"[{ALPHABETS[a]}][{MARKS}0-9]*[{ALPHABETS[b]}]" for a in ALPHABETS for b in ALPHABETS if a != b))
+_MIXABLE = re.compile("|".join(f"[{a}][{MARKS}0-9]*[{''.join(b for b in ALPHABETS.values() if b != a)}]" for a in ALPHABETS.values()))
 #: A word that another alphabet could spell whole.
 _WHOLE = re.compile("|".join(rf"(?<!\w)[{''.join({k for t in TO_SCRIPT.values() for k in t if of.match(k)})}]{{3,}}(?!\w)" for of in _OF.values()))
 
@@ -80,7 +91,7 @@ def respelled(token: str, usual: str | None) -> str:
     allowed = frozenset(TO_SCRIPT).intersection(*map(resolved, token))
     firm = [s for s in scripts if any(script(c) == s and len(resolved(c)) == 1 for c in token)]
     if len(scripts) == 1:
-        word = len(token) > 2 and not token.isupper() and not any(c.isdigit() for c in token)
+        word = len(token) > 2 and (not token.isupper() or next(iter(scripts)) in (ARMENIAN, CHEROKEE)) and not any(c.isdigit() for c in token)
         target = usual if word and usual in allowed and usual not in scripts else None
     elif firm:
         target = firm[0] if len(firm) == 1 else max(firm, key=lambda s: scripts[s])
@@ -99,21 +110,30 @@ def findings(text: str) -> list[str]:
         flat = FINDINGS["full_width"].sub(lambda m: unicodedata.normalize("NFKC", m[0]), flat)
     if _MIXABLE.search(flat) and any(mixed(t) for t in TOKEN.findall(flat)):
         out.append("mixed_script")
+    elif _FOREIGN.search(flat) and _PLAIN.search(flat) and _WHOLE.search(flat):
+        usual = _usual(flat)
+        if any(_WHOLE.fullmatch(t) and respelled(t, usual) != t for t in TOKEN.findall(flat)):
+            out.append("whole_script")
     return out
 
 
+def _usual(text: str) -> str:
+    """The script of most letters of ``text``."""
+    return max(TO_SCRIPT, key=lambda s: len(_OF[s].findall(text)))
+
+
 def unified(text: str) -> str:
     """``text`` in one consistent form."""
     if text.isascii():
         return text
     text = FINDINGS["invisible"].sub("", text)
     text = FINDINGS["space"].sub(" ", text)
-    for kind in ("full_width", "joined_letters"):
+    for kind in ("full_width", "joined_letters", "styled"):
         text = FINDINGS[kind].sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
     text = unicodedata.normalize("NFC", text)
     whole = _FOREIGN.search(text) and _PLAIN.search(text) and _WHOLE.search(text)
     if whole or _MIXABLE.search(text):
-        usual = max(TO_SCRIPT, key=lambda s: len(_OF[s].findall(text)))
+        usual = _usual(text)
         text = TOKEN.sub(lambda m: respelled(m[0], usual) if mixed(m[0]) or _WHOLE.fullmatch(m[0]) else m[0], text)
     return text
 
