@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 5
@@ -254,11 +254,17 @@ def calibrated(models: Models, held: list[list[str]], truth: list[str]) -> float
 
 
 def train(rows: DataFrame, text: str, lang: str, languages: list[str], *, per_language: int = 1500) -> Judge:
-    """Models from at most ``per_language`` labelled rows of each language, a tenth of them held out for calibration."""
+    """Models from at most ``per_language`` labelled texts of each language, a tenth of them held out for calibration.
+
+    Texts are drawn by digest, so the sample is the same in every run; equal texts count once.
+    """
     known = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isin(languages) & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     share = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(int(min(1.0, per_language / n) * (1 << 30))))]) if sizes else None
-    picked = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")]).limit(2 * per_language * len(languages)).collect() if sizes else []
+    digest = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    drawn = known.select("lang", "text", digest.alias("digest")).where(F.col("digest") < share[F.col("lang")]).distinct() if sizes else known.limit(0).withColumn("digest", F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "text"))  # of about per_language texts each
+    picked = drawn.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text").collect()
     by: dict[str, list[list[str]]] = {l: [] for l in languages}
     for r in sorted(picked, key=lambda r: r["text"]):
         by[r["lang"]].append(words(r["text"]))
