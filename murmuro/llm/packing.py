@@ -21,6 +21,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +32,17 @@ ITEM = "doc_id BIGINT, piece INT, size INT, terms ARRAY<INT>"
 PLACED = "doc_id BIGINT, piece INT, size INT, container STRING, used INT"
 
 
-def tokenizer(path: str, pattern: str):
-    """The byte-level vocabulary file at ``path`` as an encoder."""
+def tokenizer(vocabulary: bytes, pattern: str):
+    """A byte-level vocabulary file as an encoder."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _items(path: str, pattern: str, capacity: int):
+def _items(vocabulary: Broadcast, pattern: str, capacity: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = tokenizer(path, pattern)
+        encoder = tokenizer(vocabulary.value, pattern)
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"]):
@@ -147,7 +147,9 @@ def packed(documents: DataFrame, doc_id: str, text: str, path: str, pattern: str
     ``open_share`` of their capacity left are packed again.
     """
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
-    items = stored(rows.mapInPandas(_items(path, pattern, capacity), ITEM), "pack-items")
+    with open(path, "rb") as file:  # a vocabulary has a fixed size, about a megabyte; executors need no file of their own
+        vocabulary = documents.sparkSession.sparkContext.broadcast(file.read())
+    items = stored(rows.mapInPandas(_items(vocabulary, pattern, capacity), ITEM), "pack-items")
     shards = max(1, ceil(items.where(f"size > 0 AND size < {capacity}").count() / shard_docs))
     loose = items.where(f"size > 0 AND size < {capacity}").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     placed = stored(loose.groupBy("shard").applyInPandas(_shard(capacity), PLACED), "pack-placed")

@@ -81,7 +81,7 @@ def test_neighbours_come_first():
 
 def test_containers(spark):
     path, pattern = packing_queries._vocabulary()
-    encoder = packing.tokenizer(path, pattern)
+    encoder = packing.tokenizer(open(path, "rb").read(), pattern)
     texts = [(1, None), (2, ""), (3, "a b c " * 900), (4, "hello"), (4, "hello"), *((10 + i, f"short note {i} " * (i % 9 + 1)) for i in range(60))]
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id BIGINT, text STRING, container STRING")
     out = packing.packed(df, "doc_id", "text", path, pattern, capacity=256, shard_docs=20).collect()
