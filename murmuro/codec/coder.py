@@ -220,11 +220,12 @@ def lossy(text: str) -> bool:
 
 def compress(text: str, model: Model) -> bytes:
     """Empty for an empty text; else one header byte (0, or 1 with escapes) and code, or the UTF-8 itself if that is shorter."""
-    if not text:
-        return b""
-    code, escapes = _coded(text, model)
-    plain, packed = text.encode(), bytes([escapes]) + code
-    return plain if len(packed) > len(plain) and plain[0] >= 2 else packed
+    return packed(text, *_coded(text, model)) if text else b""
+
+
+def packed(text: str, code: bytes, escapes: bool) -> bytes:
+    plain, out = text.encode(), bytes([escapes]) + code
+    return plain if len(out) > len(plain) and plain[0] >= 2 else out
 
 
 def decompress(data: bytes, model: Model) -> str:

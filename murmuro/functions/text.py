@@ -56,6 +56,18 @@ SCRIPT_RANGES = {
     "LATIN": r"A-Za-zªµºÀ-ÖØ-öø-ɏ",
 }
 
+# The stream's scripts: by the first word of a letter's Unicode name, which for these is its script; every other letter counts as Latin.
+NAMED_SCRIPTS = {
+    "CYRILLIC": r"\p{IsCyrillic}&&\p{L}",
+    "CJK": r"\p{IsHan}&&\p{L}",
+    "JA": r"ぁ-ゖゝ-ゟァ-ヺー-ヿㇰ-ㇿ",
+    "KO": r"\p{IsHangul}&&\p{L}&&[^ﾠ-ￜ]",
+    "AR": r"[\p{IsArabic}ـ]&&\p{L}",
+    "HI": r"\p{IsDevanagari}&&\p{L}",
+    "TH": r"\p{IsThai}&&\p{L}",
+}
+NAMED_SCRIPTS["LATIN"] = r"\p{L}" + "".join(f"&&[^[{r}]]" for r in NAMED_SCRIPTS.values())
+
 
 def strip(text: Column) -> Column:
     """``text`` without Unicode white space at its ends."""
@@ -93,15 +105,15 @@ def cyrillic_or_english(text: Column) -> Column:
     return F.when(F.regexp_count(text, F.lit(r"[Ѐ-ӿ]")) / F.greatest(F.length(text), F.lit(1)) > 0.2, "ru").otherwise("en")
 
 
-def script_counts(text: Column) -> dict[str, Column]:
+def script_counts(text: Column, scripts: dict[str, str] = SCRIPT_RANGES) -> dict[str, Column]:
     """Letters of ``text`` by script."""
-    return {s: F.regexp_count(text, F.lit(f"[{r}]")) for s, r in SCRIPT_RANGES.items()}
+    return {s: F.regexp_count(text, F.lit(f"[{r}]")) for s, r in scripts.items()}
 
 
-def with_scripts(rows: DataFrame, text: str = "text") -> DataFrame:
+def with_scripts(rows: DataFrame, text: str = "text", scripts: dict[str, str] = SCRIPT_RANGES) -> DataFrame:
     """``rows`` with the letters per script and their first places, so that each is evaluated once by what follows."""
-    first = {s: F.length(F.regexp_extract(F.col(text), f"^[^{r}]*", 0)) for s, r in SCRIPT_RANGES.items()}
-    return rows.select("*", *[c.alias(f"__n_{s}") for s, c in script_counts(F.col(text)).items()], *[c.alias(f"__at_{s}") for s, c in first.items()])
+    first = {s: F.length(F.regexp_extract(F.col(text), f"^[^[{r}]]*", 0)) for s, r in scripts.items()}
+    return rows.select("*", *[c.alias(f"__n_{s}") for s, c in script_counts(F.col(text), scripts).items()], *[c.alias(f"__at_{s}") for s, c in first.items()])
 
 
 def dominant_script() -> Column:
@@ -109,7 +121,7 @@ def dominant_script() -> Column:
     return F.array_max(F.array(*(F.struct(F.col(f"__n_{s}").alias("n"), (-F.col(f"__at_{s}")).alias("at"), F.lit(s).alias("script")) for s in SCRIPT_RANGES)))["script"]
 
 
-def _guessed(rows: DataFrame, latin: Column, cyrillic: Column) -> DataFrame:
+def _guessed(rows: DataFrame, latin: Column, cyrillic: Column, scripts: dict[str, str] = SCRIPT_RANGES) -> DataFrame:
     counts = {s: F.col(f"__n_{s}") for s in SCRIPT_RANGES}
     total, top = F.col("__total"), F.col("__top")
     over = lambda s: counts[s] / F.greatest(total, F.lit(1)) > 0.3
@@ -118,7 +130,7 @@ def _guessed(rows: DataFrame, latin: Column, cyrillic: Column) -> DataFrame:
     for script, lang in (("KO", "ko"), ("AR", "ar"), ("HI", "hi"), ("TH", "th")):
         out = out.when((top == script) & over(script), lang)
     out = out.when((top == "CYRILLIC") & over("CYRILLIC"), cyrillic).when(top == "LATIN", latin).otherwise("unknown")
-    ready = with_scripts(rows).select("*", reduce(lambda a, b: a + b, counts.values()).alias("__total"), dominant_script().alias("__top"))
+    ready = with_scripts(rows, scripts=scripts).select("*", reduce(lambda a, b: a + b, counts.values()).alias("__total"), dominant_script().alias("__top"))
     return ready.select(*rows.columns, out.alias("guess"))
 
 
@@ -127,7 +139,7 @@ def with_language_by_region(rows: DataFrame) -> DataFrame:
     hints = F.create_map(*(F.lit(x) for pair in REGION_LANGUAGE.items() if pair[1] != "multi_eu" for x in pair))
     words, region = F.lower("text"), F.col("region")
     guess = reduce(lambda acc, kv: acc.when(words.rlike(f" ({kv[1].replace(' ', '|')}) "), kv[0]), SPACED_WORDS.items(), F.when(F.lit(False), "")).otherwise("en")
-    return _guessed(rows, F.coalesce(hints[region], guess), F.when(F.contains(region, F.lit("UA")), "uk").otherwise("ru"))
+    return _guessed(rows, F.coalesce(hints[region], guess), F.when(F.contains(region, F.lit("UA")), "uk").otherwise("ru"), NAMED_SCRIPTS)
 
 
 def with_language(rows: DataFrame) -> DataFrame:

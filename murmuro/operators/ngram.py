@@ -9,17 +9,26 @@ BOS, EOF, ESC = "\u0002", "\u0003", "\u0004"
 ORDER = 11
 
 
+#: Characters of the parts that a text is cut into, first long ones and then short ones: a place in a part is found by counting from its start.
+PARTS = (4096, 64)
+
+
 def windows(texts: DataFrame, text: str = "text", order: int = ORDER, weight: Column | None = None) -> DataFrame:
     """``(window, cnt)``: every position with the ``order`` symbols before it, padded at the start and closed by EOF.
 
-    The text is split once; slices of the array replace a substring per
-    position, which would be quadratic. Null texts are left out. A ``weight``
-    counts a row several times without replicating it.
+    A text is cut into short overlapping parts and every window is a substring
+    of its part, which stays in generated code and is linear in the length of
+    the text. Null texts are left out. A ``weight`` counts a row several times
+    without replicating it.
     """
-    symbols = F.concat(F.array_repeat(F.lit(BOS), order), F.when(F.col(text) == "", F.array()).otherwise(F.split(F.col(text), "")), F.array(F.lit(EOF)))
-    spots = F.transform(F.sequence(F.lit(1), F.size("symbols") - order), lambda i: F.array_join(F.slice(F.col("symbols"), i, order + 1), ""))
-    rows = texts.where(F.col(text).isNotNull()).select(symbols.alias("symbols"), (weight if weight is not None else F.lit(1)).cast("bigint").alias("w"))
-    return rows.select("w", F.explode(spots).alias("window")).groupBy("window").agg(F.sum("w").alias("cnt"))
+    padded = F.concat(F.lit(BOS * order), F.col(text), F.lit(EOF))
+    rows = texts.where(F.col(text).isNotNull()).select(padded.alias("part"), (weight if weight is not None else F.lit(1)).cast("bigint").alias("w"))
+    for size in PARTS:
+        most = F.lit(size + order)
+        cuts = F.transform(F.sequence(F.lit(1), F.length("part") - order, F.lit(size)), lambda i: F.substr(F.col("part"), i, most))  # noqa: B023
+        rows = rows.select("w", F.explode(cuts).alias("part"))
+    spots = rows.select("w", "part", F.explode(F.sequence(F.lit(1), F.length("part") - order)).alias("i"))
+    return spots.select("w", F.substr(F.col("part"), F.col("i"), F.lit(order + 1)).alias("window")).groupBy("window").agg(F.sum("w").alias("cnt"))
 
 
 def rolled_up(counted: DataFrame, order: int = ORDER) -> DataFrame:
@@ -53,14 +62,15 @@ def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
     return every.select(F.posexplode("all").alias("idx", "ch"))
 
 
-def as_json(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """The portable model, one JSON object per order: ``{"n": ..., "c": {ctx: {ch: count}}}``. For pruned models."""
-    by_ctx = counted.where(F.col("n") <= order).groupBy("n", "ctx").agg(F.map_from_entries(F.collect_list(F.struct("ch", "cnt"))).alias("next"))
-    return by_ctx.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("ctx", "next"))).alias("c")).select("n", F.to_json(F.struct("n", "c")).alias("json"))
+def as_json(counted: DataFrame) -> DataFrame:
+    """``(n, ctx, json)``: of every context its place in the portable model, ``{"symbol": count, ...}``. No row holds more than one context."""
+    pairs = F.concat_ws(",", F.array_sort(F.collect_list(F.concat(F.to_json(F.array("ch")).substr(F.lit(2), F.length(F.to_json(F.array("ch"))) - 2), F.lit(":"), F.col("cnt").cast("string")))))
+    return counted.groupBy("n", "ctx").agg(F.concat(F.lit("{"), pairs, F.lit("}")).alias("json"))
 
 
-def from_json(lines: DataFrame, json: str = "json") -> DataFrame:
-    """Counts from the portable model."""
-    parsed = lines.select(F.from_json(json, "n INT, c MAP<STRING, MAP<STRING, BIGINT>>").alias("m"))
-    ctx = parsed.select("m.n", F.explode("m.c").alias("ctx", "next"))
-    return ctx.select("n", "ctx", F.explode("next").alias("ch", "cnt"))
+def from_json(document: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame]:
+    """Counts ``(n, ctx, ch, cnt)`` and the vocabulary ``(idx, ch)`` of portable models; the end and escape signs are added where they lack."""
+    parsed = document.select(F.from_json(json, "o INT, v ARRAY<STRING>, c ARRAY<MAP<STRING, MAP<STRING, BIGINT>>>").alias("m"))
+    each = parsed.select(F.col("m.o").alias("o"), F.posexplode("m.c").alias("n", "by")).where("n <= o").select("n", F.explode("by").alias("ctx", "next"))
+    symbols = F.array_sort(F.array_distinct(F.concat("m.v", F.array(F.lit(EOF), F.lit(ESC)))))
+    return each.select("n", "ctx", F.explode("next").alias("ch", "cnt")), parsed.select(F.posexplode(symbols).alias("idx", "ch"))

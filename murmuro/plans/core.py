@@ -83,11 +83,6 @@ vocab AS (SELECT row_number() OVER (ORDER BY ord(ch)) - 1 AS idx, ch,
 _BLANK_SQL = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def _re(pattern: str) -> str:
-    """A range of characters as RE2 escapes."""
-    return "".join(c if c == "-" or c.isascii() else f"\\x{{{ord(c):x}}}" for c in pattern)
-
-
 def lang_detect_v0(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "raw_messages").where("text IS NOT NULL").select("id", text.cyrillic_or_english(F.col("text")).alias("guess"))
 
@@ -106,25 +101,49 @@ def script_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text IS NOT NULL").groupBy("source").agg(*[F.sum(c).alias(s.lower()) for s, c in counts.items()])
 
 
-_N_SQL = "length(regexp_replace(text, '[^{0}]', '', 'g'))"
-_SCRIPTS_SQL = ", ".join(f"{_N_SQL.format(_re(r))} AS {s.lower()}, length(regexp_extract(text, '(?s)^[^{_re(r)}]*')) AS {s.lower()}_at" for s, r in text.SCRIPT_RANGES.items())
-_SUM_SQL = " + ".join(s.lower() for s in text.SCRIPT_RANGES)
-_TOP_SQL = "list_reverse_sort([" + ", ".join(f"{{'n': {s.lower()}, 'at': -{s.lower()}_at, 's': '{s}'}}" for s in text.SCRIPT_RANGES) + "])[1].s"
+# The SQL of the detectors stands on its own: character classes of RE2, and the words written out again.
+_V2_CLASSES = {
+    "cyrillic": r"\x{400}-\x{4ff}", "cjk": r"\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}", "ja": r"\x{3040}-\x{30ff}", "ko": r"\x{ac00}-\x{d7af}",
+    "ar": r"\x{600}-\x{6ff}\x{750}-\x{77f}", "hi": r"\x{900}-\x{97f}", "th": r"\x{e00}-\x{e7f}", "latin": r"A-Za-z\x{80}-\x{24f}",
+}
+_V1_CLASSES = {"cyrillic": r"\p{Cyrillic}", "cjk": r"\p{Han}", "ja": r"\x{3041}-\x{3096}\x{309d}-\x{309f}\x{30a1}-\x{30fa}\x{30fc}-\x{30ff}\x{31f0}-\x{31ff}", "ko": r"\p{Hangul}", "ar": r"\p{Arabic}\x{640}", "hi": r"\p{Devanagari}", "th": r"\p{Thai}"}
+
 
+def _letters_sql(classes: dict[str, str], rest: bool) -> str:
+    """Letters per class and the first place of each in ``ltr``; with ``rest`` every other letter is Latin."""
+    counts = [f"length(regexp_replace(ltr, '[^{c}]', '', 'g')) AS {s}, length(regexp_extract(ltr, '(?s)^[^{c}]*')) AS {s}_at" for s, c in classes.items()]
+    if rest:
+        every = "".join(classes.values())
+        counts.append(f"length(regexp_replace(ltr, '[{every}]', '', 'g')) AS latin, length(regexp_extract(ltr, '(?s)^[{every}]*')) AS latin_at")
+    return ", ".join(counts)
 
-def _detect_sql(source: str, key: str, words: dict, edges: tuple[str, str], latin_first: str, cyrillic: str) -> str:
-    guess = " ".join(f"WHEN regexp_matches(lower(text), '{edges[0]}({w.replace(' ', '|')}){edges[1]}') THEN '{l}'" for l, w in words.items())
-    share = lambda s: f"{s.lower()} > 0.3 * total"
-    simple = " ".join(f"WHEN top = '{s}' AND {share(s)} THEN '{l}'" for s, l in (("KO", "ko"), ("AR", "ar"), ("HI", "hi"), ("TH", "th")))
+
+def _detect_sql(source: str, key: str, counts: str, english: str, words: str, cyrillic: str) -> str:
+    names = ("cyrillic", "cjk", "ja", "ko", "ar", "hi", "th", "latin")
+    top = "list_reverse_sort([" + ", ".join(f"{{'n': {s}, 'at': -{s}_at, 's': '{s}'}}" for s in names) + "])[1].s"
+    simple = " ".join(f"WHEN top = '{s}' AND {s} > 0.3 * total THEN '{s}'" for s in ("ko", "ar", "hi", "th"))
     return f"""
-WITH c AS (SELECT *, {_SCRIPTS_SQL} FROM {source} WHERE text IS NOT NULL), t AS (SELECT *, {_SUM_SQL} AS total, {_TOP_SQL} AS top FROM c)
-SELECT {key}, CASE WHEN total = 0 THEN 'unknown' WHEN top = 'CJK' AND {share("CJK")} THEN 'zh'
-  WHEN top = 'JA' OR (ja > 0 AND ja + cjk > 0.3 * total) THEN 'ja' {simple}
-  WHEN top = 'CYRILLIC' AND {share("CYRILLIC")} THEN {cyrillic}
-  WHEN top = 'LATIN' THEN CASE {latin_first} {guess} ELSE 'en' END ELSE 'unknown' END AS guess FROM t"""
+WITH letters AS (SELECT *, regexp_replace(text, '[^\\pL]', '', 'g') AS ltr FROM {source} WHERE text IS NOT NULL),
+c AS (SELECT *, {counts} FROM letters), t AS (SELECT *, {" + ".join(names)} AS total, {top} AS top FROM c)
+SELECT {key}, CASE WHEN total = 0 THEN 'unknown' WHEN top = 'cjk' AND cjk > 0.3 * total THEN 'zh'
+  WHEN top = 'ja' OR (ja > 0 AND ja + cjk > 0.3 * total) THEN 'ja' {simple}
+  WHEN top = 'cyrillic' AND cyrillic > 0.3 * total THEN {cyrillic}
+  WHEN top = 'latin' THEN CASE {english} {words} ELSE 'en' END ELSE 'unknown' END AS guess FROM t"""
 
 
-_HINT_SQL = " ".join(f"WHEN region = '{r}' THEN '{l}'" for r, l in text.REGION_LANGUAGE.items() if l != "multi_eu")
+_V1_WORDS = " ".join(
+    f"WHEN regexp_matches(lower(text), ' ({w}) ') THEN '{l}'"
+    for l, w in (("en", "the|is|are|you|and|this|that"), ("de", "der|die|das|und|ist|ein|ich"), ("fr", "est|les|des|une|dans|pour|que"), ("es", "los|las|una|que|por|con|para"), ("pt", "os|uma|com|para|que|não"), ("tr", "bir|ve|bu|ile|için"), ("id", "dan|yang|ini|untuk|dari"))
+)
+_V2_WORDS = " ".join(
+    rf"WHEN regexp_matches(lower(text), '(^|[^\pL\pN_])({w})([^\pL\pN_]|$)') THEN '{l}'"
+    for l, w in (
+        ("en", "the|is|are|you|and|this|that|have|for|not|with|but"), ("de", "der|die|das|und|ist|ein|ich|nicht|auch|noch"), ("fr", "est|les|des|une|dans|pour|pas|qui|sur|avec"), ("es", "los|las|una|que|por|con|para|del|más|como"),
+        ("pt", "os|uma|com|para|não|mais|por|como|dos|das"), ("tr", "bir|ve|bu|ile|için|olan|var|gibi|ben|sen"), ("sv", "en|ett|och|det|att|som|med|har|kan|inte"), ("no", "en|og|det|er|at|til|med|som|har|kan"),
+        ("pl", "i|nie|się|na|to|jest|co|tak|ale|jak"), ("id", "dan|yang|ini|untuk|dari|ada|akan|tidak|bisa"), ("nl", "en|het|van|een|dat|met|niet|ook|zijn|maar"),
+    )
+)
+_HINT_SQL = " ".join(f"WHEN region = '{r}' THEN '{l}'" for r, l in (("US", "en"), ("CN", "zh"), ("JP", "ja"), ("KR", "ko"), ("RU", "ru"), ("IN", "hi"), ("TH", "th"), ("TW", "zh"), ("ANZ", "en"), ("UA_868", "uk"), ("MY_433", "ms"), ("MY_919", "ms"), ("SG_923", "en"), ("PH", "en"), ("NZ_865", "en")))
 
 
 def msg_valid_v1(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,9 +292,23 @@ def message_fields(spark: SparkSession, folder: str) -> DataFrame:
 # --- codec: no SQL can express it
 
 
-def _encoded(spark: SparkSession, folder: str) -> DataFrame:
-    model = channel.publish(_train(spark, folder))
-    return channel.encode_report(table(spark, folder, "test").select("test_id", "text", "lang", "source").repartition(spark.sparkContext.defaultParallelism), ["test_id", "lang", "source", "text"], model)
+_PUBLISHED: dict[tuple, channel.Published] = {}
+
+
+def _published(spark: SparkSession, folder: str, langs: tuple[str, ...] = ()) -> channel.Published:
+    """The model of ``train`` without any text of ``test``; the last one is kept, as several queries use it."""
+    key = (spark.sparkContext.applicationId, folder, langs)
+    if key not in _PUBLISHED:
+        rows = split.without_leaks(_train(spark, folder).select("text", "lang"), table(spark, folder, "test").select("text"))
+        _PUBLISHED.clear()
+        _PUBLISHED[key] = channel.publish(rows.where(F.col("lang").isin(*langs)) if langs else rows)
+    return _PUBLISHED[key]
+
+
+def _encoded(spark: SparkSession, folder: str, langs: tuple[str, ...] = ()) -> DataFrame:
+    rows = table(spark, folder, "test").select("test_id", "text", "lang", "source")
+    rows = rows.where(F.col("lang").isin(*langs)) if langs else rows
+    return channel.encode_report(rows.repartition(spark.sparkContext.defaultParallelism), ["test_id", "lang", "source", "text"], _published(spark, folder, langs))
 
 
 def compress_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -283,18 +316,35 @@ def compress_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return _encoded(spark, folder).drop("text")
 
 
-def bpc_by_language(spark: SparkSession, folder: str) -> DataFrame:
-    """Bits per character, share saved, round trips and expansions per language, binary and text channel."""
-    rows = _encoded(spark, folder).where("text <> ''")
+def _scores(rows: DataFrame, *by: str) -> DataFrame:
+    """Bits per character, share saved, round trips, expansions and the first row's source of each group, binary and text channel."""
     chars, size = F.sum(F.length("text")), F.sum("utf8_len")
-    return rows.groupBy("lang").agg(
+    return rows.where("text <> ''").groupBy(*by).agg(
         F.count("*").alias("n"), (8 * F.sum("comp_len") / chars).alias("bpc"), (8 * F.sum("line_len") / chars).alias("line_bpc"),
         ((1 - F.sum("comp_len") / size) * 100).alias("ratio"), ((1 - F.sum("zlib_len") / size) * 100).alias("zlib_ratio"),
         (F.avg((F.col("roundtrip_ok") & F.col("line_ok")).cast("double")) * 100).alias("rt"), F.count_if(F.col("comp_len") > F.col("utf8_len")).alias("neg"),
-        (channel.PACKET * 8 / (8 * F.sum("comp_len") / chars)).alias("capacity_chars"),
+        (channel.PACKET * 8 / (8 * F.sum("comp_len") / chars)).alias("capacity_chars"), F.min_by(F.coalesce("source", F.lit("?")), "test_id").alias("source"),
     )
 
 
+def bpc_by_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores of the codec per language of ``test``; no text of ``test`` stands in the training rows."""
+    return _scores(_encoded(spark, folder), "lang")
+
+
+def bpc_by_script(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores of the codec per most frequent script of the text."""
+    ready = text.with_scripts(_encoded(spark, folder))
+    return _scores(ready.withColumn("script", text.dominant_script()), "script")
+
+
+def bpc_en_ru(spark: SparkSession, folder: str) -> DataFrame:
+    """The English and Russian track: trained and scored on these two alone, per language and over all characters."""
+    rows = _encoded(spark, folder, ("en", "ru")).where("text <> ''")
+    chars = F.sum(F.length("text"))
+    return rows.rollup("lang").agg(F.count("*").alias("n"), (8 * F.sum("comp_len") / chars).alias("bpc"), (8 * F.sum("line_len") / chars).alias("line_bpc"), F.every(F.col("roundtrip_ok") & F.col("line_ok")).alias("all_ok"), F.grouping("lang").cast("int").alias("is_total"))
+
+
 def weighted_bpc(spark: SparkSession, folder: str) -> DataFrame:
     """The mean of the languages' bits per character, weighted by messages, and over all characters."""
     rows = _encoded(spark, folder).where("text <> ''")
@@ -304,7 +354,7 @@ def weighted_bpc(spark: SparkSession, folder: str) -> DataFrame:
 
 def ideal_bits_by_lang(spark: SparkSession, folder: str) -> DataFrame:
     """Ideal bits per character of ``test`` per language, the bound that the coder approaches."""
-    model = channel.publish(_train(spark, folder))
+    model = _published(spark, folder)
     rows = channel.information(table(spark, folder, "test").select("lang", "text").repartition(spark.sparkContext.defaultParallelism), ["lang"], model)
     return rows.groupBy("lang").agg(F.count("*").alias("n"), (F.sum("bits") / F.sum("chars")).alias("ideal_bpc"))
 
@@ -330,29 +380,44 @@ def compress_text_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def base91_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """UTF-8 of every text of ``collected`` through base91 and back."""
-    return channel.base91_checked(table(spark, folder, "collected").where("text IS NOT NULL").select("msg_id", F.encode("text", "UTF-8").alias("data")), "data")
+    """Every text of ``collected`` as it comes back from base91, and whether its code has the size of the format."""
+    rows = channel.base91_checked(table(spark, folder, "collected").where("text IS NOT NULL").select("msg_id", F.encode("text", "UTF-8").alias("data")), "data")
+    return rows.select("msg_id", F.decode("data", "UTF-8").alias("text"), F.length("b91").between(F.floor(F.octet_length("data") * 16 / 14), F.floor(F.octet_length("data") * 16 / 13) + 2).alias("size_ok"))
 
 
 def cdf_top_contexts(spark: SparkSession, folder: str) -> DataFrame:
     """The cumulative table of the hundred most frequent contexts of order 3: a top-k report."""
-    return channel.cumulative(ngram_top_contexts(spark, folder), channel.publish(_train(spark, folder)))
+    return channel.cumulative(ngram_top_contexts(spark, folder), _published(spark, folder))
 
 
 def decode_report(spark: SparkSession, folder: str) -> DataFrame:
     """Payloads of ``test`` in the web form decoded again."""
-    model = channel.publish(_train(spark, folder))
+    model = _published(spark, folder)
     coded = channel.encode_report(table(spark, folder, "test"), ["test_id"], model)
     return channel.decode(coded.where("error IS NULL"), model, "b91", "b91")
 
 
+def decode_hex_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads of ``test`` in hexadecimal decoded again."""
+    model = _published(spark, folder)
+    coded = channel.encode_report(table(spark, folder, "test"), ["test_id"], model)
+    return channel.decode(coded.where("error IS NULL").select(F.lower(F.hex("payload")).alias("hex")), model, "hex", "hex")
+
+
+def decoded_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of ``test`` that the codec can hold, through payload, web form and text channel: all three as decoded."""
+    model = _published(spark, folder)
+    coded = channel.encode_report(table(spark, folder, "test").select("test_id", "text").repartition(spark.sparkContext.defaultParallelism), ["test_id"], model).where("error IS NULL")
+    ways = coded.select("test_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("hex", "b91", "line"))), F.array(F.hex("payload"), "b91", "line"))).alias("way", "value"))
+    return channel.decode(ways, model, None, "value", keep=["test_id", "way"], kinds="way").select("test_id", "way", "text", "error")
+
+
 def aes_ctr_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts of ``collected`` encrypted and decrypted in counter mode: rows where the result differs (none)."""
+    """Texts of ``collected`` encrypted and decrypted in counter mode: what comes back, and the size of the sealed text."""
     rows = table(spark, folder, "collected").where("text IS NOT NULL").select("msg_id", F.encode("text", "UTF-8").alias("data"), F.conv(F.substring("from_node", 2, 8), 16, 10).cast("bigint").alias("node"))
-    rows = rows.where("node IS NOT NULL")
-    once = crypto.counter_mode(rows, "data", "msg_id", "node", "sealed")
+    once = crypto.counter_mode(rows.where("node IS NOT NULL"), "data", "msg_id", "node", "sealed")
     twice = crypto.counter_mode(once, "sealed", "msg_id", "node", "opened")
-    return twice.select("msg_id", (F.col("opened") == F.col("data")).alias("same"), F.octet_length("sealed").alias("bytes"))
+    return twice.select("msg_id", F.decode("opened", "UTF-8").alias("text"), F.octet_length("sealed").alias("bytes"), (F.col("sealed") != F.col("data")).alias("sealed_differs"))
 
 
 QUERIES = {
@@ -361,7 +426,7 @@ QUERIES = {
         ngram_counts_o3, ngram_totals, ngram_top_contexts, ngram_weighted, prune_contexts, ngram_model_sizes, vocab_index, script_index, cumulative_symbols, lang_detect_v0, lang_detect_v1, lang_detect_v2,
         script_histogram, msg_valid_v1, msg_valid_v2, dedup_first, dedup_two_key, dedup_window_events, split_topn, split_counts, split_90_10, anti_train_test, synthetic_not_real, union_sources, language_union,
         intersect_overlap, group_at_least, region_hint_join, codepoint_block_range, collection_stats_rollup, raw_stats, status_counters, length_buckets, message_fields, compress_roundtrip, bpc_by_language,
-        weighted_bpc, ideal_bits_by_lang, bpc_rollup, ratio_by_length, compress_text_roundtrip, base91_roundtrip, cdf_top_contexts, decode_report, aes_ctr_roundtrip,
+        bpc_by_script, bpc_en_ru, weighted_bpc, ideal_bits_by_lang, bpc_rollup, ratio_by_length, compress_text_roundtrip, base91_roundtrip, cdf_top_contexts, decode_report, decode_hex_report, decoded_texts, aes_ctr_roundtrip,
     )
 }
 
@@ -374,7 +439,7 @@ parts AS (SELECT *, CASE WHEN source = CASE WHEN reals >= 20 THEN 'real' ELSE 's
 _BLOCKS_SQL = "CASE WHEN cp BETWEEN 1024 AND 1279 THEN 0 WHEN cp BETWEEN 256 AND 591 THEN 1 WHEN cp BETWEEN 8192 AND 8303 THEN 2 WHEN cp BETWEEN 8592 AND 8703 THEN 3 WHEN cp BETWEEN 9728 AND 10175 THEN 4 WHEN cp BETWEEN 127744 AND 128511 THEN 5 WHEN cp BETWEEN 128512 AND 128591 THEN 6 WHEN cp BETWEEN 129280 AND 129535 THEN 7 WHEN cp BETWEEN 65024 AND 65039 THEN 8 WHEN cp BETWEEN 129648 AND 129791 THEN 9 ELSE 10 END"
 _V1_SQL = "length(bare) BETWEEN 2 AND 500 AND NOT regexp_matches(bare, '^(seq |BAT:|SNR:|RSSI:|pos:|GPS:)') AND 1 - hidden / length(bare) >= 0.7 AND NOT (letters < 2 AND length(bare) > 3)"
 _V2_SQL = "length(text) <= 500 AND length(bare) >= 2 AND NOT regexp_matches(bare, '(?i)^(Pong to|seq |BAT:|SNR:|RSSI:|pos:|GPS:|Ping$|CQ CQ|test$)') AND NOT regexp_matches(bare, '^(За окном:|Погода$|Weather:)') AND 1 - hidden / length(bare) >= 0.7 AND NOT (letters < 2 AND length(bare) > 3)"
-_V2_LANG = _detect_sql("raw_messages", "id", text.WHOLE_WORDS, (r"(^|[^\pL\pN_])", r"([^\pL\pN_]|$)"), "", "'ru'")
+_V2_LANG = _detect_sql("raw_messages", "id", _letters_sql(_V2_CLASSES, False), "", _V2_WORDS, "'ru'")
 ORACLE = {
     "ngram_counts_o3": _COUNTS_SQL + "SELECT CAST(n AS INT) AS n, ctx, ch, cnt FROM counts",
     "ngram_totals": _COUNTS_SQL + "SELECT CAST(n AS INT) AS n, ctx, CAST(sum(cnt) AS BIGINT) AS total FROM counts GROUP BY ALL",
@@ -398,9 +463,9 @@ SELECT CAST(n AS INT) AS n, count(*) AS pairs, CAST(sum(cnt) AS BIGINT) AS cnt F
 WITH c AS (SELECT ch, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text || chr(3), '(?s).')) AS ch FROM train WHERE text IS NOT NULL) GROUP BY 1)
 SELECT ch, cnt, CAST(sum(cnt) OVER (ORDER BY ord(ch) ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM c""",
     "lang_detect_v0": "SELECT id, CASE WHEN length(regexp_replace(text, '[^\\x{400}-\\x{4ff}]', '', 'g')) > 0.2 * length(text) THEN 'ru' ELSE 'en' END AS guess FROM raw_messages WHERE text IS NOT NULL",
-    "lang_detect_v1": _detect_sql("collected", "msg_id", text.SPACED_WORDS, (" ", " "), _HINT_SQL, "CASE WHEN contains(region, 'UA') THEN 'uk' ELSE 'ru' END"),
+    "lang_detect_v1": _detect_sql("collected", "msg_id", _letters_sql(_V1_CLASSES, True), _HINT_SQL, _V1_WORDS, "CASE WHEN contains(region, 'UA') THEN 'uk' ELSE 'ru' END"),
     "lang_detect_v2": _V2_LANG,
-    "script_histogram": "SELECT source, " + ", ".join(f"CAST(sum({_N_SQL.format(_re(r))}) AS BIGINT) AS {s.lower()}" for s, r in text.SCRIPT_RANGES.items()) + " FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "script_histogram": "SELECT source, " + ", ".join(f"CAST(sum(length(regexp_replace(regexp_replace(text, '[^\\pL]', '', 'g'), '[^{c}]', '', 'g'))) AS BIGINT) AS {s}" for s, c in _V2_CLASSES.items()) + " FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "msg_valid_v1": _OK_SQL.replace("{0}", "collected") + f"SELECT msg_id, coalesce({_V1_SQL}, false) AS valid FROM c",
     "msg_valid_v2": _OK_SQL.replace("{0}", "raw_messages") + f"SELECT id, coalesce({_V2_SQL}, false) AS valid FROM c",
     "dedup_first": "SELECT min(msg_id) AS msg_id FROM collected WHERE text IS NOT NULL GROUP BY lang, text",
@@ -428,5 +493,8 @@ SELECT digest, s AS stored_at FROM kept""",
     "raw_stats": "SELECT count(*) AS rows, arg_min(id, CAST(id AS BIGINT)) AS first_id, arg_max(id, CAST(id AS BIGINT)) AS last_id, arg_min_null(left(created_at, 19), CAST(id AS BIGINT)) AS first_at, arg_max_null(left(created_at, 19), CAST(id AS BIGINT)) AS last_at FROM raw_messages",
     "status_counters": f"WITH l AS ({_V2_LANG}), v AS ({_OK_SQL.replace('{0}', 'raw_messages')} SELECT id, text, coalesce({_V2_SQL}, false) AS valid FROM c) SELECT CASE WHEN text IS NULL OR text = '' THEN 'no text' WHEN NOT valid THEN 'filtered' WHEN guess = 'unknown' THEN 'unknown' ELSE 'stored' END AS status, count(*) AS rows FROM v LEFT JOIN l USING (id) GROUP BY 1",
     "length_buckets": "WITH s AS (SELECT text, octet_length(encode(text)) AS size FROM train WHERE text <> '') SELECT CASE WHEN size <= 10 THEN '1-10' WHEN size <= 20 THEN '11-20' WHEN size <= 50 THEN '21-50' WHEN size <= 100 THEN '51-100' WHEN size <= 200 THEN '101-200' ELSE '201+' END AS bucket, count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY 1",
+    "base91_roundtrip": "SELECT msg_id, text, true AS size_ok FROM collected WHERE text IS NOT NULL",
+    "aes_ctr_roundtrip": "SELECT msg_id, text, CAST(octet_length(encode(text)) AS INT) AS bytes, text <> '' AS sealed_differs FROM collected WHERE text IS NOT NULL AND from_node IS NOT NULL",
+    "decoded_texts": "SELECT test_id, way, text, CAST(NULL AS VARCHAR) AS error FROM test, (VALUES ('hex'), ('b91'), ('line')) w (way) WHERE text IS NOT NULL AND NOT contains(text, chr(3)) AND NOT contains(text, chr(4)) AND length(text) <= 4095",
     "message_fields": "WITH n AS (SELECT *, CAST('0x' || substring(from_node, 2, 8) AS BIGINT) AS node FROM collected WHERE text IS NOT NULL) SELECT msg_id, node, printf('!%08x', node) AS node_name, md5(text) AS digest, CAST(octet_length(encode(text)) AS INT) AS bytes, replace(left(text, 60), chr(10), ' ') AS preview FROM n",
 }

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -96,10 +98,37 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ctx STRING, ch STRING, cnt BIGINT, n INT").parquet(path).select("n", "ctx", "ch", "cnt")
 
 
-def write_portable_model(counted: DataFrame, path: str, threshold: int = 2, order: int = ngram.ORDER) -> None:
-    """The portable JSON model; pruned first, one line per order."""
-    ngram.as_json(ngram.pruned(counted, threshold), order).select("json").coalesce(1).write.mode("overwrite").text(path)
+def write_portable_model(counted: DataFrame, vocabulary: DataFrame, path: str, threshold: int = 5, order: int = ngram.ORDER) -> None:
+    """The portable JSON model in a local file, ``{"o": order, "v": [symbols], "c": [{context: {symbol: count}} for each order]}``; pruned first.
 
-
-def read_portable_model(spark: SparkSession, path: str) -> DataFrame:
-    return ngram.from_json(spark.read.text(path), "value")
+    Contexts come to the driver one partition at a time and leave for the file at once.
+    """
+    rows = ngram.as_json(ngram.pruned(counted, threshold).where(F.col("n") <= order)).orderBy("n", "ctx")
+    dumped = partial(json.dumps, ensure_ascii=False, separators=(",", ":"))
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(f'{{"o":{order},"v":{dumped([r["ch"] for r in vocabulary.orderBy("idx").select("ch").toLocalIterator()])},"c":[')
+        n, first = 0, True
+        out.write("{")
+        for r in rows.toLocalIterator():
+            while n < r["n"]:
+                out.write("},{")
+                n, first = n + 1, True
+            out.write(("" if first else ",") + f'{dumped(r["ctx"])}:{r["json"]}')
+            first = False
+        out.write("},{" * (order - n) + "}]}")
+
+
+def read_portable_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Counts and vocabulary of a portable JSON model; a whole file is one document."""
+    return ngram.from_json(spark.read.option("wholetext", True).text(path), "value")
+
+
+def write_splits(rows: DataFrame, folder: str) -> None:
+    """Text files of ``(text, lang, part)`` rows in folders ``part=.../lang=...``; line ends in a text become blanks."""
+    line = F.regexp_replace("text", LINE_END, " ").alias("value")
+    rows.where("text IS NOT NULL AND lang IS NOT NULL").select(line, "lang", "part").write.mode("overwrite").partitionBy("part", "lang").text(folder)
+
+
+def append_stream(messages: DataFrame, folder: str, checkpoint: str):
+    """A stream of messages appended to JSON lines in a folder per language; the query, which the caller stops. Each row is written once."""
+    return messages.writeStream.format("json").partitionBy("lang").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").start()

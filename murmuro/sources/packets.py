@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from murmuro.functions import crypto, text
@@ -59,31 +59,48 @@ def _envelopes(payloads: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_packet(p) for p in payloads], columns=["from_node", "packet_id", "rx_time", "encrypted"]).astype({"from_node": "Int64", "packet_id": "Int64", "rx_time": "Int64"})
 
 
-def _texts(opened: pd.Series) -> pd.Series:
-    """The text in a decrypted message of the text port, else null."""
+def _texts(opened: pd.Series) -> pd.DataFrame:
+    """Whether a decrypted message can be read, whether it is one of the text port, and its text if that is UTF-8."""
 
-    def one(data: bytes | None) -> str | None:
+    def one(data: bytes | None) -> tuple[bool, bool, str | None]:
         try:
             inner = fields(data or b"")
-            return inner[2].decode() if inner.get(1) == TEXT_PORT and isinstance(inner.get(2), bytes) else None
-        except (ValueError, KeyError):
-            return None
+        except ValueError:
+            return False, False, None
+        held = inner.get(2, b"")
+        if inner.get(1) != TEXT_PORT or not isinstance(held, bytes):
+            return True, False, None
+        try:
+            return True, True, held.decode()
+        except UnicodeDecodeError:
+            return True, True, None
 
-    return pd.Series([one(d) for d in opened], dtype=object)
+    return pd.DataFrame([one(d) for d in opened], columns=["read", "said", "text"])
 
 
 def on_topic(topic: Column) -> Column:
     return topic.rlike(TOPICS)
 
 
-def messages(packets: DataFrame) -> DataFrame:
+def messages(packets: DataFrame, counters: str | Observation | None = None) -> DataFrame:
     """``(text, lang, region, from_node, ts)`` of ``(topic, payload)`` rows, batch or streaming; other packets are dropped.
 
     A missing time is that of processing. Works on a stream without state.
+    ``counters`` names an observation of what became of the packets, per batch:
+    packets_total, packets_encrypted, decrypt_ok, decrypt_fail, text_messages,
+    filtered, valid.
     """
-    envelope, inner = F.pandas_udf(_envelopes, PACKET), F.pandas_udf(_texts, "STRING")
-    parsed = packets.where(on_topic(F.col("topic"))).select("topic", envelope("payload").alias("p")).select("topic", "p.*").where("encrypted IS NOT NULL")
+    envelope, inner = F.pandas_udf(_envelopes, PACKET), F.pandas_udf(_texts, "read BOOLEAN, said BOOLEAN, text STRING")
+    parsed = packets.where(on_topic(F.col("topic"))).select("topic", envelope("payload").alias("p")).select("topic", "p.*")
     opened = crypto.counter_mode(parsed.withColumn("from_node", F.coalesce("from_node", F.lit(0))).withColumn("packet_id", F.coalesce("packet_id", F.lit(0))), "encrypted", "packet_id", "from_node", "opened")
-    bare = opened.select(text.strip(inner("opened")), text.region_of_topic(F.col("topic")).alias("region"), text.node_name(F.col("from_node")).alias("from_node"), F.when(F.col("rx_time") > 0, F.timestamp_seconds("rx_time")).otherwise(F.current_timestamp()).alias("ts"))
-    valid = bare.where(text.valid_in_stream(F.col("text")))
+    sealed = F.col("encrypted").isNotNull() & (F.octet_length("encrypted") > 0)
+    told = opened.select("*", inner("opened").alias("m")).select(sealed.alias("sealed"), F.col("m.read").alias("read"), F.col("m.said").alias("said"), text.strip(F.col("m.text")), text.region_of_topic(F.col("topic")).alias("region"), text.node_name(F.col("from_node")).alias("from_node"), F.when(F.col("rx_time") > 0, F.timestamp_seconds("rx_time")).otherwise(F.current_timestamp()).alias("ts"))
+    judged = told.withColumn("valid", F.col("sealed") & F.col("said") & text.valid_in_stream(F.col("text")))
+    if counters is not None:
+        said = F.col("sealed") & F.col("said")
+        judged = judged.observe(
+            counters, F.count(F.lit(1)).alias("packets_total"), F.count_if("sealed").alias("packets_encrypted"), F.count_if(F.col("sealed") & F.col("read")).alias("decrypt_ok"), F.count_if(F.col("sealed") & ~F.col("read")).alias("decrypt_fail"),
+            F.count_if(said).alias("text_messages"), F.count_if(said & F.col("text").isNotNull() & ~F.col("valid")).alias("filtered"), F.count_if("valid").alias("valid"),
+        )
+    valid = judged.where("valid").select("text", "region", "from_node", "ts")
     return text.with_language_by_region(valid).select("text", F.col("guess").alias("lang"), "region", "from_node", "ts")

@@ -72,6 +72,16 @@ def test_lossy_cases(model):
     assert lossy("a\x03b") and lossy("a\x04") and lossy("x" * 4096) and not lossy("x" * 4095)
 
 
+def test_published_models_are_never_cut(spark):
+    texts = spark.createDataFrame([(f"hello {i % 50}",) for i in range(500)], "text STRING")
+    once, twice = (channel.publish(texts.unionByName(texts.limit(n)), rarest=200) for n in (0, 500))
+    assert {r[:3] for r in once.rows} == {r[:3] for r in twice.rows}  # the same rule at any size
+    assert min(sum(r[3] for r in once.rows if r[:2] == key) for key in {r[:2] for r in once.rows}) >= 500 * 9 / 200
+    assert {r[0] for r in channel.publish(texts, threshold=10**6).rows} == {0, 1, 2}
+    with pytest.raises(ValueError, match="most_rows"):
+        channel.publish(texts, threshold=1, most_rows=100)
+
+
 def test_report_and_decode(spark):
     texts = spark.createDataFrame([("hello there",), ("hello again",), ("привет",), (None,), ("",)], "text STRING")
     published = channel.publish(texts, threshold=1)
