@@ -12,8 +12,12 @@ text is split where a change of language pays: the best path over words with a
 price per change is decoded, and a second language stands if its words, by
 count and by gain, make at least a sentence. The confidence is the posterior
 of the language over all languages from length-normalised cross-entropy, with
-a temperature calibrated on held-out rows; below ``least`` the text is rejected
-(language null). Texts without letters, and null texts, are rejected as well.
+a temperature calibrated on held-out rows. A text or segment is rejected
+(language null) if its confidence is below ``least``, or if its cross-entropy is
+above ``most``, which is calibrated on held-out rows too: so much worse than any
+of them is no text of a known language. Texts without letters, and null texts,
+are rejected as well. Rows of equal ids stay apart as rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,21 +35,31 @@ ORDER = 5
 _SKIP = re.compile(r"![0-9a-fA-F]{6,10}\b|\b(?=\w*[0-9])\w+\b|\b[A-Z]{4}\b|https?://\S+|\S+@\S+")
 _CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
 _WORD = re.compile(rf"[{_CJK}]+|(?:(?![{_CJK}])[^\W\d_])+(?:['’ʼ](?:(?![{_CJK}])[^\W\d_])+)*")
+_FIRST_CJK = re.compile(f"[{_CJK}]")
 _PIECE = 2  # Chinese and Japanese runs count as words of so many characters
 
 
-def words(text: str) -> list[str]:
-    """The words of ``text`` in lower case; runs of Chinese and Japanese in pieces."""
-    found = _WORD.findall(_SKIP.sub(" ", unicodedata.normalize("NFC", text)))
-    out: list[str] = []
-    for w in found:
-        if re.match(f"[{_CJK}]", w):
-            out += [w[i : i + _PIECE] for i in range(0, len(w), _PIECE)]
+def spots(text: str) -> list[tuple[str, int, int]]:
+    """The words of ``text`` in lower case, with first and one past the last character; runs of Chinese and Japanese in pieces.
+
+    Places count in the composed form of the text (NFC).
+    """
+    composed = _SKIP.sub(lambda m: " " * len(m[0]), unicodedata.normalize("NFC", text))
+    out: list[tuple[str, int, int]] = []
+    for m in _WORD.finditer(composed):
+        w, b, e = m[0], *m.span()
+        if _FIRST_CJK.match(w):
+            out += [(w[i : i + _PIECE], b + i, min(b + i + _PIECE, e)) for i in range(0, len(w), _PIECE)]
         else:
-            out.append(w.lower().replace("’", "'"))
+            out.append((w.lower().replace("’", "'"), b, e))
     return out
 
 
+def words(text: str) -> list[str]:
+    """The words of ``text`` in lower case."""
+    return [w for w, _, _ in spots(text)]
+
+
 def _flat(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words, each after a blank, and the number of the word of each."""
     joined = "".join(" " + w for ws in texts for w in ws)
@@ -178,14 +192,20 @@ def decode(scores: np.ndarray, change: float) -> np.ndarray:
 class Judge:
     """Decides the languages of texts from their word scores."""
 
-    def __init__(self, models: Models, change: float = 9.0, least_words: int = 5, least_gain: float = 15.0, temperature: float = 0.1, least: float = 0.3) -> None:
-        self.models, self.change, self.least_words, self.least_gain, self.temperature, self.least = models, change, least_words, least_gain, temperature, least
+    def __init__(self, models: Models, change: float = 9.0, least_words: int = 5, least_gain: float = 15.0, temperature: float = 0.1, least: float = 0.3, most: float = float("inf")) -> None:
+        self.models, self.change, self.least_words, self.least_gain, self.temperature, self.least, self.most = models, change, least_words, least_gain, temperature, least, most
 
     def _confidence(self, scores: np.ndarray, letters: int) -> np.ndarray:
         entropy = -scores / max(letters, 1)
         p = np.exp(-(entropy - entropy.min()) / self.temperature)
         return p / p.sum()
 
+    def _named(self, scores: np.ndarray, letters: int, lang: int) -> tuple[str | None, float]:
+        """The language by its confidence and cross-entropy, or None where it is rejected."""
+        sure = float(self._confidence(scores, letters)[lang])
+        known = sure >= self.least and -scores[lang] / max(letters, 1) <= self.most
+        return self.models.languages[lang] if known else None, sure
+
     def segments(self, texts: list[list[str]]) -> list[list[tuple[str | None, float, int, int]]]:
         """For each text its languages in order: language, confidence, first word and one past the last word."""
         scores, letters = self.models.word_scores(texts)
@@ -207,10 +227,9 @@ class Judge:
                     spans.append((int(path[b]), b, e))
                 spans = self._merged(spans, s)
             if len({l for l, *_ in spans}) < 2:
-                conf = self._confidence(total, ls.sum())[main]
-                out.append([(self.models.languages[main] if conf >= self.least else None, float(conf), 0, len(ws))])
+                out.append([(*self._named(total, ls.sum(), main), 0, len(ws))])
             else:
-                out.append([(self.models.languages[l], float(self._confidence(s[b:e].sum(axis=0), ls[b:e].sum())[l]), b, e) for l, b, e in spans])
+                out.append([(*self._named(s[b:e].sum(axis=0), ls[b:e].sum(), l), b, e) for l, b, e in spans])
         return out
 
     def _merged(self, spans: list[tuple[int, int, int]], s: np.ndarray) -> list[tuple[int, int, int]]:
@@ -240,17 +259,17 @@ class Judge:
         return spans
 
 
-def calibrated(models: Models, held: list[list[str]], truth: list[str]) -> float:
-    """The temperature at which the mean confidence of held-out rows is closest to their accuracy."""
-    if not held:
-        return 0.1
+def calibrated(models: Models, held: list[list[str]], truth: list[str], beyond: float = 1.25) -> dict[str, float]:
+    """The temperature at which the mean confidence of held-out rows is closest to their accuracy, and ``beyond`` times their highest cross-entropy."""
+    if not any(held):
+        return {}
     scores, letters = models.word_scores(held)
     bounds = np.concatenate(([0], np.cumsum([len(w) for w in held])))
     rows = [(-(scores[a:b].sum(axis=0)) / max(letters[a:b].sum(), 1), t) for a, b, t in zip(bounds, bounds[1:], truth) if b > a]
     right = np.mean([models.languages[int(e.argmin())] == t for e, t in rows])
     tries = [0.02, 0.05, 0.1, 0.2, 0.3, 0.5]
     mean = [np.mean([1 / np.exp(-(e - e.min()) / t).sum() for e, _ in rows]) for t in tries]
-    return tries[int(np.argmin(np.abs(np.array(mean) - right)))]
+    return {"temperature": tries[int(np.argmin(np.abs(np.array(mean) - right)))], "most": beyond * max(float(e.min()) for e, _ in rows)}
 
 
 def train(rows: DataFrame, text: str, lang: str, languages: list[str], *, per_language: int = 1500) -> Judge:
@@ -273,19 +292,24 @@ def train(rows: DataFrame, text: str, lang: str, languages: list[str], *, per_la
         raise ValueError("no labelled text in any of the languages")
     models = Models(names, [[w for i, w in enumerate(by[l]) if i % 10 or len(by[l]) < 20] for l in names])
     held = [(w, l) for l in names for i, w in enumerate(by[l]) if i % 10 == 0]
-    return Judge(models, temperature=calibrated(models, [w for w, _ in held], [l for _, l in held]))
+    return Judge(models, **calibrated(models, [w for w, _ in held], [l for _, l in held]))
 
 
 def labelled(rows: DataFrame, judge: Judge, row_id: str, text: str) -> DataFrame:
-    """``(row_id, segment, lang, confidence, words)``: one row per language segment of every text."""
+    """``(row_id, segment, lang, confidence, words, start_pos, end_pos)``: one row per language segment of every text.
+
+    Positions are those of the first and last letter of a segment, counted from 1 in the composed form of the text; 0 without letters.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(judge)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 1000):
                 part = frame.iloc[at : at + 1000]
-                found = sent.value.segments([words(t) if t else [] for t in part["text"]])
-                out = [(r, i, l, c, e - b) for r, spans in zip(part["row_id"], found) for i, (l, c, b, e) in enumerate(spans)]
-                yield pd.DataFrame(out, columns=["row_id", "segment", "lang", "confidence", "words"])
+                placed = [spots(t) if t else [] for t in part["text"]]
+                found = sent.value.segments([[w for w, _, _ in ws] for ws in placed])
+                out = [(r, i, l, c, e - b, ws[b][1] + 1 if ws else 0, ws[e - 1][2] if ws else 0) for r, ws, spans in zip(part["row_id"], placed, found) for i, (l, c, b, e) in enumerate(spans)]
+                yield pd.DataFrame(out, columns=["row_id", "segment", "lang", "confidence", "words", "start_pos", "end_pos"])
 
-    return rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).mapInPandas(run, f"row_id {rows.schema[row_id].dataType.simpleString()}, segment INT, lang STRING, confidence DOUBLE, words INT")
+    schema = f"row_id {rows.schema[row_id].dataType.simpleString()}, segment INT, lang STRING, confidence DOUBLE, words INT, start_pos INT, end_pos INT"
+    return rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).mapInPandas(run, schema)

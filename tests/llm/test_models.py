@@ -71,6 +71,11 @@ def test_languages(spark):
     edge = spark.createDataFrame([(1, None), (2, ""), (3, "!!! 123"), (4, _said(rng, "de", 3000))], "id BIGINT, text STRING")
     got = {r["row_id"]: (r["lang"], r["confidence"]) for r in languages.labelled(edge, judge, "id", "text").collect()}
     assert got[1] == got[2] == got[3] == (None, 0.0) and got[4][0] == "de" and 0 <= got[4][1] <= 1
+    first, second = _said(rng, "en"), _said(rng, "ru")
+    both = spark.createDataFrame([(1, f"  {first} / !0badcafe {second}…"), (2, "سلام دنیا چطوری امروز هوا خیلی خوب است"), (3, "xqzvk jjwqx zzkpt vvbgh qqrtx")], "id BIGINT, text STRING")
+    by = {(r["row_id"], r["segment"]): r for r in languages.labelled(both, judge, "id", "text").collect()}
+    assert (by[1, 0]["start_pos"], by[1, 0]["end_pos"]) == (3, 2 + len(first)) and by[1, 1]["start_pos"] == 2 + len(first) + 14 and by[1, 1]["end_pos"] - by[1, 1]["start_pos"] == len(second) - 1
+    assert by[2, 0]["lang"] is None and by[3, 0]["lang"] is None  # no known language
 
 
 def test_kneser_ney_sums_to_one():
