@@ -61,7 +61,8 @@ def tokens(text: str) -> list[str]:
     for chunk in text.split():
         known = _KNOWN.get(chunk)
         if known is None:
-            known = _KNOWN[chunk] = _chunk(chunk)
+            bare = chunk.strip("(),.;:/[]")
+            known = _KNOWN[chunk] = _chunk(bare if bare.isalpha() else chunk)  # signs around a word of letters change nothing
         out += known
     return out
 

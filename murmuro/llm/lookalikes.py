@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,13 +68,18 @@ _PLAIN = re.compile(f"[{ALPHABETS[LATIN]}]")
 _MIXABLE = re.compile("|".join(f"[{a}][{MARKS}0-9]*[{''.join(b for b in ALPHABETS.values() if b != a)}]" for a in ALPHABETS.values()))
 #: A word that another alphabet could spell whole.
 _WHOLE = re.compile("|".join(rf"(?<!\w)[{''.join({k for t in TO_SCRIPT.values() for k in t if of.match(k)})}]{{3,}}(?!\w)" for of in _OF.values()))
+#: Cheap signs: of any single character that is unusual, and of a letter beside one of another alphabet.
+_UNUSUAL = re.compile("|".join(f.pattern for kind, f in FINDINGS.items() if kind not in ("invisible", "loose_accent")) + f"|[{INVISIBLE}\u200d\ufe00-\ufe0f]")
+_BESIDE = re.compile(f"[{ALPHABETS[LATIN]}][{MARKS}0-9]*[{ALPHABETS[CYRILLIC]}]|[{ALPHABETS[CYRILLIC]}][{MARKS}0-9]*[{ALPHABETS[LATIN]}]|[{''.join(ALPHABETS[s] for s in (GREEK, ARMENIAN, CHEROKEE))}]")
 
 
+@lru_cache(4096)
 def script(letter: str) -> str | None:
     """The alphabet of ``letter``; None for anything shared or outside the three alphabets."""
     return next((s for s, of in _OF.items() if of.match(letter)), None)
 
 
+@lru_cache(4096)
 def resolved(letter: str) -> frozenset[str]:
     """The scripts in which ``letter`` or a letter of the same look exists; all of them for shared characters."""
     own = script(letter)
@@ -89,7 +95,7 @@ def respelled(token: str, usual: str | None) -> str:
     """``token`` in the one script that all its letters allow, if any; ``usual`` is the script of the text."""
     scripts = Counter(s for c in token if (s := script(c)))
     allowed = frozenset(TO_SCRIPT).intersection(*map(resolved, token))
-    firm = [s for s in scripts if any(script(c) == s and len(resolved(c)) == 1 for c in token)]
+    firm = [s for s in scripts if any(script(c) == s and len(resolved(c) & scripts.keys()) == 1 for c in token)]  # a letter that no other script of the token has
     if len(scripts) == 1:
         word = len(token) > 2 and (not token.isupper() or next(iter(scripts)) in (ARMENIAN, CHEROKEE)) and not any(c.isdigit() for c in token)
         target = usual if word and usual in allowed and usual not in scripts else None
@@ -104,11 +110,12 @@ def findings(text: str) -> list[str]:
     """Kinds of unusual writing in ``text``."""
     if text.isascii():
         return []
-    out = [kind for kind, pattern in FINDINGS.items() if pattern.search(text)]
+    odd = _UNUSUAL.search(text)
+    out = [kind for kind, pattern in FINDINGS.items() if (odd or kind == "loose_accent") and pattern.search(text)]
     flat = FINDINGS["invisible"].sub("", text) if "invisible" in out else text
     if "full_width" in out:
         flat = FINDINGS["full_width"].sub(lambda m: unicodedata.normalize("NFKC", m[0]), flat)
-    if _MIXABLE.search(flat) and any(mixed(t) for t in TOKEN.findall(flat)):
+    if _BESIDE.search(flat) and _MIXABLE.search(flat) and any(mixed(t) for t in TOKEN.findall(flat)):
         out.append("mixed_script")
     elif _FOREIGN.search(flat) and _PLAIN.search(flat) and _WHOLE.search(flat):
         usual = _usual(flat)
@@ -126,13 +133,14 @@ def unified(text: str) -> str:
     """``text`` in one consistent form."""
     if text.isascii():
         return text
-    text = FINDINGS["invisible"].sub("", text)
-    text = FINDINGS["space"].sub(" ", text)
-    for kind in ("full_width", "joined_letters", "styled"):
-        text = FINDINGS[kind].sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
+    if _UNUSUAL.search(text):
+        text = FINDINGS["invisible"].sub("", text)
+        text = FINDINGS["space"].sub(" ", text)
+        for kind in ("full_width", "joined_letters", "styled"):
+            text = FINDINGS[kind].sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
     text = unicodedata.normalize("NFC", text)
     whole = _FOREIGN.search(text) and _PLAIN.search(text) and _WHOLE.search(text)
-    if whole or _MIXABLE.search(text):
+    if whole or _BESIDE.search(text) and _MIXABLE.search(text):
         usual = _usual(text)
         text = TOKEN.sub(lambda m: respelled(m[0], usual) if mixed(m[0]) or _WHOLE.fullmatch(m[0]) else m[0], text)
     return text

@@ -25,6 +25,7 @@ from murmuro.llm import format_duplicates, lookalikes
         ("a b　c", ["space"], "a b c"),
         ("𝐛𝐨𝐥𝐝 Ⓐ x² ﾊﾟ", ["styled"], "bold A x² パ"),
         ("hоuse hօuse ᎪᏀᎬ nօt", ["mixed_script"], "house house AGE not"),
+        ("ZЕAD DKΝG", ["mixed_script"], "ZEAD DKNG"),
         ("this is a рор song, not a сор in it", ["whole_script"], "this is a pop song, not a cop in it"),
         ("👨‍👩‍👧 ❤️ “ok” – … «да» звʼязок ¿qué? 有CPAB。", [], "👨‍👩‍👧 ❤️ “ok” – … «да» звʼязок ¿qué? 有CPAB。"),
         ("узел !687b8eb3 и B7EM на USB", [], "узел !687b8eb3 и B7EM на USB"),
