@@ -176,7 +176,7 @@ def dedup_two_key(spark: SparkSession, folder: str) -> DataFrame:
 def dedup_window_events(spark: SparkSession, folder: str) -> DataFrame:
     """Of each text of ``collected`` the instants that are stored: at least an hour after the last stored one."""
     rows = table(spark, folder, "collected").where("text IS NOT NULL AND ts IS NOT NULL").groupBy(F.md5("text").alias("digest"))
-    seconds = rows.agg(F.array_sort(F.collect_list(F.unix_seconds(F.col("ts").cast("timestamp")))).alias("at"))
+    seconds = rows.agg(F.array_sort(F.collect_set(F.unix_seconds(F.col("ts").cast("timestamp")))).alias("at"))
     return seconds.select("digest", F.explode(dedup.stored_in_window(F.col("at"), 3600)).alias("stored_at"))
 
 

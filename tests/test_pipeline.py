@@ -100,6 +100,19 @@ def test_split_leaks_nothing(spark):
     assert clean.join(test, "text", "left_semi").count() == 0
 
 
+def test_splits_rank_as_a_window_would(spark):
+    from pyspark.sql import Window
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"t{i}", "en" if i % 5 else None, "real" if i % 4 else "synthetic") for i in range(900)] + [(1000, "only", "de", "synthetic")], "id BIGINT, text STRING, lang STRING, source STRING")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.concat_ws("|", F.lit("42"), "text")), "id"))
+    n = F.count("*").over(Window.partitionBy("lang"))
+    want = {(r["id"], r["part"]) for r in rows.withColumn("part", F.when(rank <= F.greatest(F.lit(10), F.floor(n * 9 / 10)), "train").otherwise("test")).collect()}
+    assert {(r["id"], r["part"]) for r in split.nine_to_one(rows, least=10).collect()} == want
+    got = {(r["lang"], r["part"]): r["n"] for r in split.top_n(rows).groupBy("lang", "part").agg(F.count("*").alias("n")).collect()}
+    assert got == {("en", "test"): 72, ("en", "train"): 648, (None, "test"): 50, (None, "train"): 130, ("de", "test"): 1}
+    assert split.top_n(rows.limit(0)).count() == 0 == split.nine_to_one(rows.limit(0)).count()
+
+
 def test_counter_mode_matches_known_vector(spark):
     key = bytes.fromhex("2b7e151628aed2a6abf7158809cf4f3c")
     rows = spark.createDataFrame([(1, 0, bytearray(16)), (2, 5, bytearray(b"x" * 40)), (3, 0, None)], "packet BIGINT, node BIGINT, data BINARY")
