@@ -66,12 +66,11 @@ def publish(texts: DataFrame, text: str = "text", *, threshold: int | None = Non
         least, whole = -(-symbols // rarest), 1
     else:
         least, whole = threshold, 3
-    by_ctx = ngram.counts(texts, text).groupBy("n", "ctx").agg(F.sum("cnt").alias("total"), F.collect_list(F.struct("ch", "cnt")).alias("next"))  # at most the alphabet
-    held = stored(by_ctx.where((F.col("n") < whole) | (F.col("total") >= least)), "model-contexts")
-    size = held.agg(F.coalesce(F.sum(F.size("next")), F.lit(0))).first()[0]
+    held = stored(ngram.frequent(stored(ngram.windows(texts, text), "model-windows"), max(least, 1), whole), "model-counts")
+    size = held.count()
     if size > most_rows:
         raise ValueError(f"the model has {size} counts, more than most_rows={most_rows}: raise threshold (now {least}) or lower rarest")
-    rows = held.select("n", "ctx", F.explode("next").alias("x")).select("n", "ctx", "x.ch", "x.cnt").collect()
+    rows = held.select("n", "ctx", "ch", "cnt").collect()
     return Published([tuple(r) for r in rows], [r["ch"] for r in ngram.vocabulary(texts, text).select("ch").collect()])
 
 

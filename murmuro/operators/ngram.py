@@ -31,13 +31,32 @@ def windows(texts: DataFrame, text: str = "text", order: int = ORDER, weight: Co
     return spots.select("w", F.substr(F.col("part"), F.col("i"), F.lit(order + 1)).alias("window")).groupBy("window").agg(F.sum("w").alias("cnt"))
 
 
-def rolled_up(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(n, ctx, ch, cnt)`` for all orders up to ``order`` from counted windows."""
-    each = counted.select("cnt", "window", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("n"))
+def rolled_up(counted: DataFrame, order: int = ORDER, orders: tuple[int, int] | None = None) -> DataFrame:
+    """``(n, ctx, ch, cnt)`` for all orders up to ``order``, or for those from the first to the last of ``orders``, from counted windows of ``order``."""
+    low, high = orders or (0, order)
+    each = counted.select("cnt", "window", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("n"))
     ctx = F.substr(F.col("window"), F.lit(order + 1) - F.col("n"), F.col("n"))
     return each.groupBy("n", ctx.alias("ctx"), F.substr(F.col("window"), F.lit(order + 1), F.lit(1)).alias("ch")).agg(F.sum("cnt").alias("cnt"))
 
 
+def frequent(counted: DataFrame, least: int, whole: int, order: int = ORDER, steps: tuple[int, ...] = (4, 7)) -> DataFrame:
+    """``(n, ctx, ch, cnt)`` of the contexts seen ``least`` times, and of all below order ``whole``, from counted windows.
+
+    A context is seen no more often than any of its ends. So after each of
+    ``steps`` only windows go on whose context of that order is frequent.
+    """
+    out, alive, low = None, counted, 0
+    for high in [*(k for k in steps if whole <= k < order), order]:
+        part = pruned(rolled_up(alive, order, (low, high)), least, whole)
+        out = part if out is None else out.unionByName(part)
+        if high < order:
+            ctx = F.substring("window", order + 1 - high, high)
+            kept = alive.groupBy(ctx.alias("ctx")).agg(F.sum("cnt").alias("total")).where(F.col("total") >= least).select("ctx")
+            alive = alive.join(kept, ctx == kept["ctx"], "left_semi")
+        low = high + 1
+    return out
+
+
 def counts(texts: DataFrame, text: str = "text", order: int = ORDER, weight: Column | None = None) -> DataFrame:
     return rolled_up(windows(texts, text, order, weight), order)
 

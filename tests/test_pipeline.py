@@ -82,6 +82,15 @@ def test_ngrams_weights_prune_and_json(spark):
     assert ngram.counts(df.limit(0), order=2).count() == 0
 
 
+def test_frequent_contexts_are_those_of_pruning(spark, data):
+    texts = spark.read.parquet(f"{data}/train.parquet").select("text")
+    windows = ngram.windows(texts)
+    for least, whole in ((40, 1), (25, 3), (1, 3)):
+        want = ngram.pruned(ngram.rolled_up(windows), least, whole)
+        got = ngram.frequent(windows, least, whole)
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
+
+
 def test_duplicates(spark):
     rows = [(1, "p", "x"), (2, "p", "y"), (3, "", "x"), (4, None, "z"), (5, "q", "y"), (6, "r", "z")]
     df = spark.createDataFrame(rows, "id INT, packet STRING, text STRING")
