@@ -18,11 +18,6 @@ WINDOW, STEP = 256, 224  # steps of a window, and from one window to the next
 LETTERS, PAD = 128 + 0x60, 0
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 class Tagger:
     """The network: letter tables, two LSTM directions, a linear layer and CRF transitions; tag 0 is no item."""
 
@@ -99,24 +94,34 @@ class Tagger:
     def _gradients(self, codes: np.ndarray, tags: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         e, (both, tape, out) = self._forward(codes)
         n, size, k = e.shape
+        # Forward and backward sums as probabilities, scaled at every step: a holds what comes before, b what follows.
         T = self.w["t"].astype(np.float64)
-        e64 = np.where(real[..., None], e, 0).astype(np.float64)
-        alpha = np.empty((size, n, k))
-        alpha[0] = e64[:, 0]
+        M = np.exp(T)
+        e64 = np.where(real[..., None], e, 0).astype(np.float64).transpose(1, 0, 2)
+        top = e64.max(axis=2)
+        E = np.exp(e64 - top[..., None])
+        live = real.T[..., None]
+        a, scale = np.empty((size, n, k)), np.ones((size, n, 1))
+        scale[0] = E[0].sum(axis=1, keepdims=True)
+        a[0] = E[0] / scale[0]
         for t in range(1, size):
-            alpha[t] = np.where(real[:, t, None], _logsum(alpha[t - 1][:, :, None] + T, 1) + e64[:, t], alpha[t - 1])
-        total = _logsum(alpha[-1], 1)
-        beta = np.zeros((n, k))
-        grad_e, grad_t, one = np.zeros((n, size, k)), np.zeros((k, k)), np.eye(k)
+            step = (a[t - 1] @ M) * E[t]
+            scale[t] = np.where(live[t], step.sum(axis=1, keepdims=True), 1)
+            a[t] = np.where(live[t], step / scale[t], a[t - 1])
+        total = (np.log(scale[..., 0]) + top * real.T).sum(axis=0)
+        b = np.ones((n, k))
+        grad_e, grad_t = np.empty((size, n, k)), np.zeros((k, k))
         for t in range(size - 1, -1, -1):
-            grad_e[:, t] = np.where(real[:, t, None], np.exp(alpha[t] + beta - total[:, None]) - one[tags[:, t]], 0)
+            grad_e[t] = a[t] * b
             if t:
-                live = real[:, t]
-                ahead = (e64[live, t] + beta[live])[:, None, :]
-                grad_t += np.exp(alpha[t - 1][live][:, :, None] + T + ahead - total[live][:, None, None]).sum(axis=0)
-                np.subtract.at(grad_t, (tags[live, t - 1], tags[live, t]), 1)
-                beta[live] = _logsum(T[None] + ahead, 2)
-        gold = (np.take_along_axis(e64, tags[..., None], 2).squeeze(2) * real).sum() + (T[tags[:, :-1], tags[:, 1:]] * real[:, 1:]).sum()
+                ahead = np.where(live[t], E[t] * b / scale[t], 0)
+                grad_t += (a[t - 1].T @ ahead) * M
+                b = np.where(live[t], ahead @ M.T, b)
+        tagged = np.eye(k)[tags.T]
+        grad_e = (np.where(live, grad_e - tagged, 0)).transpose(1, 0, 2)
+        pairs = real[:, 1:]
+        np.subtract.at(grad_t, (tags[:, :-1][pairs], tags[:, 1:][pairs]), 1)
+        gold = (e64 * tagged * live).sum() + (T[tags[:, :-1], tags[:, 1:]] * pairs).sum()
         ge = (grad_e / n).astype(np.float32).transpose(1, 0, 2)
         grads = {"t": (grad_t / n).astype(np.float32), "b": ge.sum(axis=(0, 1)), "o": np.stack([np.einsum("tnh,tnk->hk", out[:, 0], ge), np.einsum("tnh,tnk->hk", out[::-1, 1], ge)])}
         back = np.stack([np.matmul(ge, self.w["o"][0].T), np.matmul(ge, self.w["o"][1].T)[::-1]], axis=1)
