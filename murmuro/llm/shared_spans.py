@@ -1,10 +1,20 @@
-"""The same or nearly the same message in two splits, by a partitioned suffix array.
+"""The same or nearly the same message in two splits.
 
 Texts are normalised to words (case, spacing, punctuation and look-alike
 letters vanish; Chinese and Japanese count by character) and named by a digest,
 so copies of a normalised text count once.
 
-The array: a suffix is the hash of its first four words (its head) and a code
+Pairs are proposed exactly, by the words themselves: two texts with the share
+``least`` of words in common have at least ``need`` words in common, so with the
+words of every text in one order from rare to frequent, the k-th common word is
+among the first ``size - need + k`` of each. Texts are joined by the rare ones
+of their first words; a frequent word is joined together with a later one. The
+order and what is frequent are learned from a bounded sample of texts; any
+choice is exact, they only spread the work. Of texts that meet, only those go on
+whose sizes and word sketches allow ``least``; this loses none.
+
+With ``exact=False`` a suffix array proposes the pairs that share a span, which
+is less than all. A suffix is the hash of its first four words (its head) and a code
 of one byte for each of the eight words that follow. Sorted by both, suffixes
 stand in the lexicographic order of their words' codes, and the common prefix of
 two is four words and as many as they have equal leading bytes. Starts are
@@ -14,16 +24,14 @@ start in common; texts of up to ``short`` words give all their starts.
 
 Adjacent suffixes of both splits with a common prefix of four words share a
 span. A run of more than ``crowd`` train texts is refined word by word, to
-twelve words at most; there every pair of the run counts, so nothing is lost to
-a cap, only to the demand for a longer span. Partitions hold whole runs. A
-prefix that a bounded sample of texts shows in more than a ``hot`` share of all
-suffixes counts as crowded and is partitioned by its next words; if twelve
+twelve words at most; there every pair of the run counts. Partitions hold whole
+runs. A prefix that a bounded sample of texts shows in more than a ``hot`` share
+of all suffixes counts as crowded and is partitioned by its next words; if twelve
 words are hot, its train suffixes are salted and its test suffixes repeated for
 every salt.
 
-Every pair of texts with a shared span is verified: the share of words in
-common order must reach ``least``. Pairs whose sizes and word sketches rule that
-out are dropped before their words are fetched; this loses none. Pairs of texts
+Every pair of texts proposed is verified: the share of words in
+common order must reach ``least``. Pairs of texts
 become pairs of rows in the join that fetches them. The shared spans of verified
 pairs are merged per record by ``coverage``.
 
@@ -36,8 +44,10 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -53,7 +63,11 @@ TOP = REST  # the last level: level k is a common prefix of HEAD + k words
 SALTS = 16
 _SIGN = np.uint64(1 << 63)  # flipped, so that signed numbers sort as the bytes do
 HOT_LEAST = 50  # suffixes of the sample that a hot prefix has at least
+DEPTH = 2  # words of the longest key of an exact join
+PAIRS = 250_000  # pairs of texts that a worker makes at once
+WORDS = 100_000  # words of the texts that a worker takes at once for keys
 SUFFIX = "head BIGINT, rest BIGINT, digest BIGINT, depth INT, salt INT"
+KEYED = "key BIGINT, digest BIGINT, size INT, low BIGINT, high BIGINT"
 _HIDDEN = re.compile(f"[{INVISIBLE}‍]")
 _LOOKS = str.maketrans({k: v.casefold() for k, v in TO_SCRIPT[LATIN].items()} | {k.casefold(): v.casefold() for k, v in TO_SCRIPT[LATIN].items() if len(k.casefold()) == 1})
 _ASCII_WORD = re.compile("[a-z0-9]+")
@@ -75,7 +89,6 @@ class _Memo(dict):
 
 
 _PLAIN = _Memo(lambda w: w if w.isascii() else w.translate(_LOOKS))
-_BIT = _Memo(lambda w: 1 << (zlib.crc32(w.encode()) & 63))
 
 
 def words(text: str) -> list[str]:
@@ -94,17 +107,7 @@ def _normalised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         plain = [" ".join(words(t)) for t in frame["text"]]
         named = np.array([xxhash.xxh3_64_intdigest(p) for p in plain], np.uint64).reshape(-1) >> np.uint64(16) << np.uint64(1) | frame["side"].to_numpy().astype(np.uint64)
-        lists = [p.split(" ") for p in plain]
-        sketch = np.fromiter((_sketch(ws) for ws in lists), np.uint64, len(lists))
-        yield pd.DataFrame({"digest": named.view(np.int64), "id": frame["id"], "words": plain, "size": [len(ws) for ws in lists], "sketch": sketch.view(np.int64)})
-
-
-def _sketch(ws: list[str]) -> int:
-    """One of 64 bits for each word; a bit that another text lacks stands for a word that it lacks."""
-    out = 0
-    for w in ws:
-        out |= _BIT[w]
-    return out
+        yield pd.DataFrame({"digest": named.view(np.int64), "id": frame["id"], "words": plain})
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -276,6 +279,155 @@ def _adjacent(crowd: int, chunk_rows: int):
     return run
 
 
+def _numbered(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words as numbers of 32 bits, which of them stand in the texts, and the texts' sizes."""
+    lists = [w.split(" ") for w in frame["words"]]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    known: defaultdict[str, int] = defaultdict()
+    known.default_factory = known.__len__
+    places = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.int64, sizes.sum())
+    return np.fromiter((zlib.crc32(w.encode()) for w in known), np.uint64, len(known)), places, sizes
+
+
+def _sketches(numbers: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """One of 128 bits for each word of a text, in two halves; a bit that another text lacks stands for a word that it lacks."""
+    one = np.uint64(1) << (numbers & np.uint64(63))
+    return [np.bitwise_or.reduceat(np.where(numbers >> np.uint64(6) & np.uint64(1) == half, one, np.uint64(0)), before).view(np.int64) for half in (0, 1)]
+
+
+def _ranked(numbers: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Numbers of words with their places in the order from rare to frequent as higher bits."""
+    known, counts = ranks
+    if not len(known):
+        return numbers
+    at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+    return np.where(known[at] == numbers, np.minimum(counts[at], (1 << 14) - 1), 0).astype(np.uint64) << np.uint64(32) | numbers
+
+
+def _ordered(ranked: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The words of all texts by other numbers, each text's from rare to frequent. A word's second place is another number."""
+    codes = np.sort(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(46) | ranked)
+    new = np.concatenate(([True], codes[1:] != codes[:-1]))
+    again = np.arange(len(codes)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return _mixed(codes & np.uint64((1 << 32) - 1) | again.astype(np.uint64) << np.uint64(32))
+
+
+def _keyed(least: float, ranks: tuple[np.ndarray, np.ndarray], hot: list[np.ndarray], level: int = 0):
+    """The keys of every text for the exact join; with a ``level``, those of so many words that were made of frequent ones."""
+
+    def of(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        numbers, places, sizes = _numbered(frame)
+        digest, before = frame["digest"].to_numpy(), np.cumsum(sizes) - sizes
+        codes, (low, high) = _ordered(_ranked(numbers, ranks)[places], sizes), _sketches(numbers[places], before)
+        need = np.maximum(np.ceil(least / (2 - least) * sizes - 1e-9).astype(np.int64), 1)
+        text, at, key = np.arange(len(sizes)), np.full(len(sizes), -1), np.zeros(len(sizes), np.uint64)
+        for depth in range(1, DEPTH + 1):
+            many = np.maximum(np.minimum(sizes - need + depth, sizes)[text] - 1 - at, 0)
+            came = np.repeat(np.arange(len(text)), many)
+            at = at[came] + 1 + np.arange(len(came)) - np.repeat(np.cumsum(many) - many, many)
+            text = text[came]
+            with np.errstate(over="ignore"):
+                key = _mixed(key[came] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[before[text] + at]) >> np.uint64(16)
+            on = np.isin(key, hot[depth - 1]) if depth <= len(hot) and depth < DEPTH else np.zeros(len(key), bool)
+            done = np.full(len(key), depth == level) if level else ~on | (need[text] <= depth)  # with ``depth`` words in common at least, no more may be
+            own = text[done]
+            yield pd.DataFrame({"key": key[done].view(np.int64), "digest": digest[own], "size": sizes[own].astype(np.int32), "low": low[own], "high": high[own]})
+            if depth == level or not on.any():
+                return
+            text, at, key = text[on], at[on], key[on]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.drop_duplicates("digest")
+            parts = frame["words"].str.len().cumsum() // (6 * WORDS)
+            for _, part in frame.groupby(parts, sort=False):
+                yield from of(part)
+
+    return run
+
+
+def _words_counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        numbers, places, _ = _numbered(frame)
+        yield pd.DataFrame({"key": numbers.view(np.int64), "n": np.bincount(places, minlength=len(numbers))}).groupby("key", as_index=False).sum()
+
+
+def _learned(some: DataFrame, least: float, share: float) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray]]:
+    """How frequent the words of the sample are, and its keys that more than ``share`` of the texts have, by level."""
+
+    def often(counted: DataFrame, more: float) -> list:
+        return counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > more).collect()
+
+    rows = sorted((r["key"], r["n"]) for r in often(some.mapInPandas(_words_counted, "key BIGINT, n BIGINT"), 1))
+    ranks = (np.array([k for k, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64))
+    hot, texts = [], some.count()
+    for level in range(1, DEPTH):
+        keys = some.mapInPandas(_keyed(least, ranks, hot, level), KEYED).selectExpr("key", "1 AS n")
+        hot.append(np.array([r["key"] for r in often(keys, max(HOT_LEAST, share * texts))], np.int64).view(np.uint64))
+        if not len(hot[-1]):
+            break
+    return ranks, hot
+
+
+def _likely(least: float, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether the sizes and sketches of texts allow ``least``."""
+    (size_a, low_a, high_a), (size_b, low_b, high_b) = a, b
+    lacks_b = np.bitwise_count(low_a & ~low_b) + np.bitwise_count(high_a & ~high_b)
+    lacks_a = np.bitwise_count(low_b & ~low_a) + np.bitwise_count(high_b & ~high_a)
+    return 2 * np.minimum(size_a - lacks_b, size_b - lacks_a) >= least * (size_a + size_b) - 1e-6
+
+
+def _met(least: float):
+    """Pairs of texts with equal keys and sizes and sketches that allow ``least``; rows are in the order of key, split and digest.
+
+    Of a key that goes on in the next batch only the test texts are held.
+    """
+
+    def joined(rows: list[np.ndarray], begin: int, middle: int, end: int) -> Iterator[pd.DataFrame]:
+        step = max(1, PAIRS // (middle - begin))
+        for at in range(middle, end, step):
+            mine, theirs = slice(begin, middle), slice(at, min(at + step, end))
+            a, b = np.nonzero(_likely(least, tuple(x[mine, None] for x in rows[2:]), tuple(x[None, theirs] for x in rows[2:])))
+            yield pd.DataFrame({"a": rows[1][begin + a], "b": rows[1][at + b]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last = None, None
+        for frame in frames:
+            if not len(frame):
+                continue
+            key, digest = frame["key"].to_numpy(), frame["digest"].to_numpy()
+            fresh = np.concatenate(([(key[0], digest[0]) != last], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])))
+            last = (key[-1], digest[-1])
+            rows = [frame[c].to_numpy()[fresh].astype(kind) for c, kind in (("key", np.int64), ("digest", np.int64), ("size", np.int32), ("low", np.uint64), ("high", np.uint64))]
+            if held:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            key, test = rows[0], (rows[1] & 1) == 0
+            if not len(key):
+                continue
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            end = np.append(begin[1:], len(key))
+            tests = np.add.reduceat(test.astype(np.int64), begin)
+            trains = end - begin - tests
+            large = tests * trains > 2048
+            for k in np.flatnonzero(large):
+                yield from joined(rows, begin[k], begin[k] + tests[k], end[k])
+            few = np.flatnonzero(~large & (tests > 0) & (trains > 0))
+            made = np.cumsum(tests[few] * trains[few])
+            while len(few):
+                upto = int(np.searchsorted(made, PAIRS, "right"))
+                part = few[:upto]
+                many = np.repeat(tests[part], trains[part])  # the tests of each train text
+                b = np.repeat(np.repeat(begin[part] + tests[part] - np.cumsum(trains[part]) + trains[part], trains[part]) + np.arange(len(many)), many)
+                a = np.repeat(np.repeat(begin[part], trains[part]) - np.cumsum(many) + many, many) + np.arange(len(b))
+                fit = _likely(least, tuple(x[a] for x in rows[2:]), tuple(x[b] for x in rows[2:]))
+                yield pd.DataFrame({"a": rows[1][a[fit]], "b": rows[1][b[fit]]})
+                few, made = few[upto:], made[upto:] - made[upto - 1]
+            goes_on = slice(begin[-1], begin[-1] + tests[-1])
+            held = [x[goes_on].copy() for x in rows]
+
+    return run
+
+
 def _alike(least: float):
     """Verified pairs of rows with the spans of the test text's words that stand in the train text in order."""
 
@@ -308,31 +460,32 @@ def similarity(a: list[str], b: list[str], least: float = 0.0) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio() if a != b else 1.0
 
 
+def _some(plain: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` texts, by digest."""
+    part = min(1.0, sample / max(1, plain.count()))
+    return plain.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(part * (1 << 20))).select("digest", "words")
+
+
 def _hot(plain: DataFrame, window: int, short: int, share: float, sample: int) -> dict[int, np.ndarray]:
     """For each level the prefixes that more than ``share`` of all suffixes have, by a sample of about ``sample`` texts; at most 1 / share each."""
-    part = min(1.0, sample / max(1, plain.count()))
-    some = plain.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(part * (1 << 20))).select("digest", "words")
-    counted = some.mapInPandas(_suffixes(window, short, {}), SUFFIX).mapInPandas(_prefixes, "level INT, prefix BIGINT, n BIGINT").groupBy("level", "prefix").agg(F.sum("n").alias("n"))
+    counted = _some(plain, sample).mapInPandas(_suffixes(window, short, {}), SUFFIX).mapInPandas(_prefixes, "level INT, prefix BIGINT, n BIGINT").groupBy("level", "prefix").agg(F.sum("n").alias("n"))
     rows = counted.where((F.col("n") > HOT_LEAST) | (F.col("level") < 0)).collect()  # as many as the sample bounds
     least = share * sum(r["n"] for r in rows if r["level"] < 0)
     return {k: np.array(sorted(r["prefix"] for r in rows if r["level"] == k and r["n"] > least), np.int64) for k in range(TOP + 1)}
 
 
-def pairs(
-    test: DataFrame, train: DataFrame, test_id: str, train_id: str, text: str = "text",
-    *, window: int = 4, short: int = 16, crowd: int = 8, least: float = 0.86, chunk_rows: int = 60_000, hot: float = 1e-3, sample: int = 10_000,
-) -> DataFrame:
-    """Every pair of the same message: ``test_id``, ``train_id``, ``words`` of the test text and its ``spans`` that stand in the train text.
+def _matching(plain: DataFrame, least: float, share: float, sample: int) -> DataFrame:
+    """Every pair of texts that may have the share ``least`` of words in common, by their rare words."""
+    some = stored(_some(plain, sample), "span-sample")
+    ranks, hot = _learned(some, least, share)
+    keyed = plain.select("digest", "words").mapInPandas(_keyed(least, ranks, hot), KEYED)
+    ordered = keyed.repartition("key").sortWithinPartitions("key", F.col("digest").bitwiseAND(1), "digest")
+    return ordered.mapInPandas(_met(least), "a BIGINT, b BIGINT")
 
-    ``window``, ``short``, ``crowd``, ``hot``: see above; ``sample``: texts from
-    which hot prefixes are learned, which decides how work is spread and which
-    prefixes count as crowded from the start; ``least``: share of words in
-    common order.
-    """
-    sides = [df.select(F.lit(i).alias("side"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")) for i, (df, key) in enumerate(((test, test_id), (train, train_id)))]
-    rows = sides[0].unionByName(sides[1]).where("text IS NOT NULL AND id IS NOT NULL")
-    plain = stored(rows.mapInPandas(_normalised, "digest BIGINT, id BIGINT, words STRING, size INT, sketch BIGINT").where("words <> ''"), "span-words")
-    known = _hot(plain, window, short, hot, sample)
+
+def _spanning(plain: DataFrame, window: int, short: int, crowd: int, chunk_rows: int, share: float, sample: int) -> DataFrame:
+    """Pairs of texts with a shared span, by the suffix array."""
+    known = _hot(plain, window, short, share, sample)
     suffixes = plain.select("digest", "words").mapInPandas(_suffixes(window, short, known), SUFFIX)
     if any(len(v) for v in known.values()):
         salts = F.when(F.col("depth") <= TOP, F.array(F.lit(0))).when(F.col("digest").bitwiseAND(1) == 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")))
@@ -342,14 +495,27 @@ def pairs(
     else:
         parted = suffixes.repartition("head")
     ordered = parted.sortWithinPartitions("head", "salt", "rest", F.col("digest").bitwiseAND(1))
-    spans = ordered.mapInPandas(_adjacent(crowd, chunk_rows), "a BIGINT, b BIGINT")
-    # Equal pairs meet in one partition of ``a``, where the sketch of the test text joins them.
-    found = spans.repartition("a").distinct()
+    return ordered.mapInPandas(_adjacent(crowd, chunk_rows), "a BIGINT, b BIGINT")
+
+
+def pairs(
+    test: DataFrame, train: DataFrame, test_id: str, train_id: str, text: str = "text",
+    *, window: int = 4, short: int = 16, crowd: int = 8, least: float = 0.86, chunk_rows: int = 60_000, hot: float = 1e-3, sample: int = 10_000, exact: bool = True,
+) -> DataFrame:
+    """Every pair of the same message: ``test_id``, ``train_id``, ``words`` of the test text and its ``spans`` that stand in the train text.
+
+    ``window``, ``short``, ``crowd``, ``hot``: see above; ``sample``: texts from
+    which hot words and prefixes are learned, which decides how work is spread;
+    ``least``: share of words in common order. With ``exact`` every pair is
+    found; without, by the suffix array, those that share a span outside crowded
+    runs.
+    """
+    sides = [df.select(F.lit(i).alias("side"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")) for i, (df, key) in enumerate(((test, test_id), (train, train_id)))]
+    rows = sides[0].unionByName(sides[1]).where("text IS NOT NULL AND id IS NOT NULL")
+    plain = stored(rows.mapInPandas(_normalised, "digest BIGINT, id BIGINT, words STRING").where("words <> ''"), "span-words")
+    found = _matching(plain, least, hot, sample) if exact else _spanning(plain, window, short, crowd, chunk_rows, hot, sample)
+    likely = stored(found.distinct(), "span-pairs")  # its size is known from here on, and decides how the words are fetched
     tests, trains = plain.where("digest & 1 = 0"), plain.where("digest & 1 = 1")
-    side = lambda df, x: df.select(F.col("digest").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")).distinct()
-    shared = F.least(F.expr("size_a - bit_count(sketch_a & ~sketch_b)"), F.expr("size_b - bit_count(sketch_b & ~sketch_a)"))  # at most so many words are common
-    likely = found.join(side(tests, "a"), "a").join(side(trains, "b"), "b").where(2 * shared >= least * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b")
-    likely = stored(likely, "span-pairs")  # its size is known from here on, and decides how the words are fetched
     mine = tests.select(F.col("digest").alias("a"), F.col("id").alias("a_id"), F.col("words").alias("words_a"))
     theirs = trains.select(F.col("digest").alias("b"), F.col("id").alias("b_id"), F.col("words").alias("words_b"))
     same = likely.join(mine, "a").join(theirs, "b").select("a_id", "b_id", "words_a", "words_b")

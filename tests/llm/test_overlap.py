@@ -60,6 +60,46 @@ def test_one_shared_run_in_a_crowd_is_enough(spark):
     assert {tuple(r) for r in shared_spans.overlaps(test, train, "test_id", "train_id").collect()} == {(1, i) for i in range(len(trains))}
 
 
+def test_pairs_of_which_every_shared_start_is_crowded(spark):
+    """Two words of twenty differ in every text, so all shared runs hold all texts and none goes on with equal words; a moved word leaves runs of three."""
+    base = "we will meet beside the old water tower after sunset with two fresh batteries and one spare antenna for everybody here".split()
+    row = lambda a, b: " ".join([*base[:4], a, *base[5:12], b, *base[13:]])
+    train = [(i, row(f"red{i}", f"blue{i}")) for i in range(30)] + [(90, "alpha bravo charlie delta echo foxtrot golf hotel")]
+    test = [(i, row(f"tea{i}", f"milk{i}")) for i in range(3)] + [(9, "alpha bravo charlie echo foxtrot delta golf hotel")]
+    a, b = spark.createDataFrame(test, "test_id BIGINT, text STRING"), spark.createDataFrame(train, "train_id BIGINT, text STRING")
+    want = {(i, j) for i in range(3) for j in range(30)} | {(9, 90)}
+    assert {tuple(r) for r in shared_spans.overlaps(a, b, "test_id", "train_id").collect()} == want
+    assert shared_spans.overlaps(a, b, "test_id", "train_id", exact=False).count() < 5  # but for equal codes of unequal words
+
+
+def test_keys_meet_whatever_is_frequent():
+    """Every pair that is alike has a key in common, with any order of words and any frequent ones."""
+    rng = random.Random(6)
+    bases = [[rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 25))] for _ in range(60)]
+    texts = [w for base in bases for w in (base, [rng.choice("abxy") if rng.random() < 0.1 else w for w in base], rng.sample(base, len(base)), base + ["z"])]
+    frame = pd.DataFrame({"digest": np.arange(len(texts)), "words": [" ".join(t) for t in texts]})
+    numbers = np.sort(np.unique(shared_spans._numbered(frame)[0]))
+    alike = {(i, j) for i in range(0, len(texts), 2) for j in range(1, len(texts), 2) if shared_spans.similarity(texts[i], texts[j], 0.86) >= 0.86}
+    for share in (0.0, 0.5, 1.0):
+        ranks = (numbers, np.array([rng.randrange(50) for _ in numbers]))
+        first = pd.concat(shared_spans._keyed(0.86, ranks, [], 1)(iter([frame])))["key"].unique().view(np.uint64)
+        hot = [np.array([k for k in first if rng.random() < share], np.uint64)]
+        keyed = pd.concat(shared_spans._keyed(0.86, ranks, hot)(iter([frame])))
+        rows = keyed.assign(side=keyed["digest"] & 1).sort_values(["key", "side", "digest"])
+        for batch in (7, 10**6):
+            met = pd.concat(shared_spans._met(0.86)(rows.iloc[i : i + batch] for i in range(0, len(rows), batch)))
+            assert len(alike) > 60 and alike <= set(zip(met["a"], met["b"]))
+
+
+def test_a_large_group_is_joined_in_bounded_pieces():
+    """Texts that all meet make at most ``PAIRS`` pairs at once, and rows that repeat make none twice."""
+    n = 1500
+    digest = np.concatenate((np.arange(n) * 2, np.arange(n) * 2 + 1))
+    rows = pd.DataFrame({"key": 5, "digest": np.repeat(digest, 2), "size": np.int32(10), "low": 3, "high": 1})
+    sizes = [len(f) for f in shared_spans._met(0.86)(rows.iloc[i : i + 1000] for i in range(0, len(rows), 1000))]
+    assert max(sizes) <= shared_spans.PAIRS and sum(sizes) == n * n
+
+
 def _rows(texts, window=4, short=16, hot=None):
     frame = pd.DataFrame({"digest": [d for _, d in texts], "words": [" ".join(shared_spans.words(t)) for t, _ in texts]})
     rows = pd.concat(list(shared_spans._suffixes(window, short, hot or {})(iter([frame]))))
