@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from murmuro.codec import base91, channel
+from murmuro.codec import base91, channel, coder
 from murmuro.codec.coder import SCALE, Model, compress, decompress, ideal_bits, lossy
 from murmuro.operators.ngram import BOS, EOF
 
@@ -82,6 +82,15 @@ def test_published_models_are_never_cut(spark):
         channel.publish(texts, threshold=1, most_rows=100)
 
 
+def test_a_code_is_decoded_once_in_all_its_forms(model, monkeypatch):
+    """The payload and the line of a text hold the same code; the second is remembered, and no other is taken for it."""
+    text, runs = "Привет, проверка связи 7", []
+    monkeypatch.setattr(coder, "_Reader", lambda data, real=coder._Reader: runs.append(data) or real(data))
+    payload, line = compress(text, model), channel.compress_text(text, model)
+    assert {decompress(payload, model), decompress(payload + b"\0", model), channel.decompress_text(line, model)} == {text} and len(runs) == 1
+    assert decompress(compress("ok", model), model) == "ok"
+
+
 def test_report_and_decode(spark):
     texts = spark.createDataFrame([("hello there",), ("hello again",), ("привет",), (None,), ("",)], "text STRING")
     published = channel.publish(texts, threshold=1)
