@@ -8,7 +8,8 @@ Pairs are proposed exactly, by the words themselves: two texts with the share
 ``least`` of words in common have at least ``need`` words in common, so with the
 words of every text in one order from rare to frequent, the k-th common word is
 among the first ``size - need + k`` of each. Texts are joined by the rare ones
-of their first words; a frequent word is joined together with a later one. The
+of their first words; a frequent word is joined together with later ones, and
+only with texts of sizes for which it is still among the first words. The
 order and what is frequent are learned from a bounded sample of texts; any
 choice is exact, they only spread the work. Of texts that meet, only those go on
 whose sizes and word sketches allow ``least``; this loses none.
@@ -30,9 +31,9 @@ of all suffixes counts as crowded and is partitioned by its next words; if twelv
 words are hot, its train suffixes are salted and its test suffixes repeated for
 every salt.
 
-Every pair of texts proposed is verified: the share of words in
-common order must reach ``least``. Pairs of texts
-become pairs of rows in the join that fetches them. The shared spans of verified
+Every pair of texts proposed is verified once, however many rows have them: the
+share of words in common order must reach ``least``. Verified pairs of texts
+become pairs of rows in a join by the texts' names. The shared spans of verified
 pairs are merged per record by ``coverage``.
 
 Null texts, and texts without a letter or digit, match nothing. Ids that repeat
@@ -56,18 +57,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmuro.llm.lookalikes import INVISIBLE, TO_SCRIPT, LATIN
-from murmuro.session import stored
+from murmuro.session import release, stored
 
 HEAD, REST = 4, 8  # words of a suffix that make its head, and words that are kept by a byte
 TOP = REST  # the last level: level k is a common prefix of HEAD + k words
 SALTS = 16
 _SIGN = np.uint64(1 << 63)  # flipped, so that signed numbers sort as the bytes do
 HOT_LEAST = 50  # suffixes of the sample that a hot prefix has at least
-DEPTH = 2  # words of the longest key of an exact join
+DEPTH = 3  # words of the longest key of an exact join
+BANDS = 12  # classes of sizes up to e times as many words
+LANES = ("low", "high", "third", "fourth")  # parts of a sketch, of 64 bits each
 PAIRS = 250_000  # pairs of texts that a worker makes at once
 WORDS = 100_000  # words of the texts that a worker takes at once for keys
 SUFFIX = "head BIGINT, rest BIGINT, digest BIGINT, depth INT, salt INT"
-KEYED = "key BIGINT, digest BIGINT, size INT, low BIGINT, high BIGINT"
+KEYED = "key BIGINT, digest BIGINT, size INT, " + ", ".join(f"{c} BIGINT" for c in LANES)
 _HIDDEN = re.compile(f"[{INVISIBLE}‍]")
 _LOOKS = str.maketrans({k: v.casefold() for k, v in TO_SCRIPT[LATIN].items()} | {k.casefold(): v.casefold() for k, v in TO_SCRIPT[LATIN].items() if len(k.casefold()) == 1})
 _ASCII_WORD = re.compile("[a-z0-9]+")
@@ -99,15 +102,16 @@ def words(text: str) -> list[str]:
 
 
 def _normalised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words and digest of every text; the digest has 48 bits and the split as its lowest.
+    """Words and digest of every text; the digest has 48 bits and the split as its lowest, ``rest`` another 64 bits.
 
-    Digests and prefix hashes only propose pairs, and every pair is verified by
-    its own words, so a rare collision costs a comparison and no more.
+    Digests and prefix hashes only propose pairs; a text is named by both, and every
+    pair is verified by its own words, so a rare collision costs a comparison and no more.
     """
     for frame in frames:
         plain = [" ".join(words(t)) for t in frame["text"]]
-        named = np.array([xxhash.xxh3_64_intdigest(p) for p in plain], np.uint64).reshape(-1) >> np.uint64(16) << np.uint64(1) | frame["side"].to_numpy().astype(np.uint64)
-        yield pd.DataFrame({"digest": named.view(np.int64), "id": frame["id"], "words": plain})
+        first, rest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p) for p in plain), ">u8").astype(np.uint64).reshape(-1, 2).T
+        named = first >> np.uint64(16) << np.uint64(1) | frame["side"].to_numpy().astype(np.uint64)
+        yield pd.DataFrame({"digest": named.view(np.int64), "rest": np.ascontiguousarray(rest).view(np.int64), "id": frame["id"], "words": plain})
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -289,10 +293,10 @@ def _numbered(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.fromiter((zlib.crc32(w.encode()) for w in known), np.uint64, len(known)), places, sizes
 
 
-def _sketches(numbers: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
-    """One of 128 bits for each word of a text, in two halves; a bit that another text lacks stands for a word that it lacks."""
-    one = np.uint64(1) << (numbers & np.uint64(63))
-    return [np.bitwise_or.reduceat(np.where(numbers >> np.uint64(6) & np.uint64(1) == half, one, np.uint64(0)), before).view(np.int64) for half in (0, 1)]
+def _sketches(codes: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """One bit for each word of a text, and another for its second place; a bit that another text lacks stands for a word that it lacks."""
+    one, lane = np.uint64(1) << (codes & np.uint64(63)), codes >> np.uint64(6) & np.uint64(len(LANES) - 1)
+    return [np.bitwise_or.reduceat(np.where(lane == k, one, np.uint64(0)), before).view(np.int64) for k in range(len(LANES))]
 
 
 def _ranked(numbers: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -312,29 +316,74 @@ def _ordered(ranked: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return _mixed(codes & np.uint64((1 << 32) - 1) | again.astype(np.uint64) << np.uint64(32))
 
 
+def _bands(least: float, sizes: np.ndarray, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes of sizes that texts may be alike with: whose they are, a number for both classes, and the words that are in common at least."""
+
+    def band(n: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(np.maximum(n, 1)) * BANDS + 1e-9).astype(np.int64)
+
+    part = least / (2 - least)
+    fewest = np.maximum(np.ceil(part * sizes - 1e-9), 1)
+    low, own = band(fewest), band(sizes)
+    many = band(np.floor(sizes / part + 1e-9)) - low + 1
+    text = np.repeat(np.arange(len(sizes)), many)
+    theirs = low[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    smallest = np.maximum(np.ceil(np.exp(theirs / BANDS) * (1 - 1e-9)), fewest[text])
+    need = np.maximum(np.ceil(least / 2 * (sizes[text] + smallest) - 1e-6), 1).astype(np.int64)
+    both = np.where(tests[text], own[text] << 32 | theirs, theirs << 32 | own[text])
+    return text, both.astype(np.uint64), need
+
+
 def _keyed(least: float, ranks: tuple[np.ndarray, np.ndarray], hot: list[np.ndarray], level: int = 0):
-    """The keys of every text for the exact join; with a ``level``, those of so many words that were made of frequent ones."""
+    """The keys of every text for the exact join; with a ``level``, those of so many words that were made of frequent ones.
+
+    A key of one word holds for texts of any size; one that goes on from a frequent word, for texts of one class of sizes.
+    """
 
     def of(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         numbers, places, sizes = _numbered(frame)
         digest, before = frame["digest"].to_numpy(), np.cumsum(sizes) - sizes
-        codes, (low, high) = _ordered(_ranked(numbers, ranks)[places], sizes), _sketches(numbers[places], before)
-        need = np.maximum(np.ceil(least / (2 - least) * sizes - 1e-9).astype(np.int64), 1)
-        text, at, key = np.arange(len(sizes)), np.full(len(sizes), -1), np.zeros(len(sizes), np.uint64)
+        codes = _ordered(_ranked(numbers, ranks)[places], sizes)
+        sketches = _sketches(codes, before)
+
+        def rows(key: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"key": key.view(np.int64), "digest": digest[own], "size": sizes[own].astype(np.int32)} | {c: x[own] for c, x in zip(LANES, sketches)})
+
+        many = sizes - np.maximum(np.ceil(least / (2 - least) * sizes - 1e-9).astype(np.int64), 1) + 1
+        text = np.repeat(np.arange(len(sizes)), many)
+        at = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        key = _mixed(codes[before[text] + at]) >> np.uint64(16)
+        on = np.isin(key, hot[0]) if hot else np.zeros(len(key), bool)
+        done = np.full(len(key), level == 1) if level else ~on
+        yield rows(key[done], text[done])
+        if level == 1 or not on.any():
+            return
+        text, at, key = text[on], at[on], key[on]
+        whose, both, need = _bands(least, sizes, (digest & 1) == 0)
+        first, bands = np.searchsorted(whose, text), np.bincount(whose, minlength=len(sizes))[text]
+        came = np.repeat(np.arange(len(text)), bands)
+        band = first[came] + np.arange(len(came)) - np.repeat(np.cumsum(bands) - bands, bands)
+        text, at, key = text[came], at[came], key[came]
+        near = at <= sizes[text] - need[band]
+        text, at, key, need = text[near], at[near], key[near], need[band[near]]
+        with np.errstate(over="ignore"):
+            key = _mixed(key * np.uint64(0xC2B2AE3D27D4EB4F) + _mixed(both[band[near]])) >> np.uint64(16)
         for depth in range(1, DEPTH + 1):
-            many = np.maximum(np.minimum(sizes - need + depth, sizes)[text] - 1 - at, 0)
-            came = np.repeat(np.arange(len(text)), many)
-            at = at[came] + 1 + np.arange(len(came)) - np.repeat(np.cumsum(many) - many, many)
-            text = text[came]
-            with np.errstate(over="ignore"):
-                key = _mixed(key[came] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[before[text] + at]) >> np.uint64(16)
-            on = np.isin(key, hot[depth - 1]) if depth <= len(hot) and depth < DEPTH else np.zeros(len(key), bool)
-            done = np.full(len(key), depth == level) if level else ~on | (need[text] <= depth)  # with ``depth`` words in common at least, no more may be
-            own = text[done]
-            yield pd.DataFrame({"key": key[done].view(np.int64), "digest": digest[own], "size": sizes[own].astype(np.int32), "low": low[own], "high": high[own]})
+            if depth > 1:
+                many = np.maximum(np.minimum(sizes[text] - need + depth, sizes[text]) - 1 - at, 0)
+                came = np.repeat(np.arange(len(text)), many)
+                at = at[came] + 1 + np.arange(len(came)) - np.repeat(np.cumsum(many) - many, many)
+                text, need = text[came], need[came]
+                with np.errstate(over="ignore"):
+                    key = _mixed(key[came] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[before[text] + at]) >> np.uint64(16)
+                on = np.isin(key, hot[depth - 1]) if depth <= len(hot) and depth < DEPTH else np.zeros(len(key), bool)
+            else:
+                on = np.ones(len(key), bool)
+            done = np.full(len(key), depth == level) if level else ~on | (need <= depth)  # with ``depth`` words in common at least, no more may be
+            yield rows(key[done], text[done])
             if depth == level or not on.any():
                 return
-            text, at, key = text[on], at[on], key[on]
+            text, at, key, need = text[on], at[on], key[on], need[on]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -371,9 +420,9 @@ def _learned(some: DataFrame, least: float, share: float) -> tuple[tuple[np.ndar
 
 def _likely(least: float, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
     """Whether the sizes and sketches of texts allow ``least``."""
-    (size_a, low_a, high_a), (size_b, low_b, high_b) = a, b
-    lacks_b = np.bitwise_count(low_a & ~low_b) + np.bitwise_count(high_a & ~high_b)
-    lacks_a = np.bitwise_count(low_b & ~low_a) + np.bitwise_count(high_b & ~high_a)
+    (size_a, *lanes_a), (size_b, *lanes_b) = a, b
+    lacks_b = sum(np.bitwise_count(x & ~y).astype(np.int16) for x, y in zip(lanes_a, lanes_b))
+    lacks_a = sum(np.bitwise_count(y & ~x).astype(np.int16) for x, y in zip(lanes_a, lanes_b))
     return 2 * np.minimum(size_a - lacks_b, size_b - lacks_a) >= least * (size_a + size_b) - 1e-6
 
 
@@ -384,11 +433,14 @@ def _met(least: float):
     """
 
     def joined(rows: list[np.ndarray], begin: int, middle: int, end: int) -> Iterator[pd.DataFrame]:
-        step = max(1, PAIRS // (middle - begin))
-        for at in range(middle, end, step):
-            mine, theirs = slice(begin, middle), slice(at, min(at + step, end))
-            a, b = np.nonzero(_likely(least, tuple(x[mine, None] for x in rows[2:]), tuple(x[None, theirs] for x in rows[2:])))
-            yield pd.DataFrame({"a": rows[1][begin + a], "b": rows[1][at + b]})
+        for first in range(begin, middle, PAIRS):
+            mine = slice(first, min(first + PAIRS, middle))
+            step = PAIRS // (mine.stop - first)
+            for at in range(middle, end, step):
+                theirs = slice(at, min(at + step, end))
+                a, b = np.nonzero(_likely(least, tuple(x[mine, None] for x in rows[2:]), tuple(x[None, theirs] for x in rows[2:])))
+                if len(a):
+                    yield pd.DataFrame({"a": rows[1][first + a], "b": rows[1][at + b]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, last = None, None
@@ -398,7 +450,7 @@ def _met(least: float):
             key, digest = frame["key"].to_numpy(), frame["digest"].to_numpy()
             fresh = np.concatenate(([(key[0], digest[0]) != last], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])))
             last = (key[-1], digest[-1])
-            rows = [frame[c].to_numpy()[fresh].astype(kind) for c, kind in (("key", np.int64), ("digest", np.int64), ("size", np.int32), ("low", np.uint64), ("high", np.uint64))]
+            rows = [frame[c].to_numpy()[fresh].astype(kind) for c, kind in (("key", np.int64), ("digest", np.int64), ("size", np.int32), *((c, np.uint64) for c in LANES if c in frame))]
             if held:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             key, test = rows[0], (rows[1] & 1) == 0
@@ -420,7 +472,8 @@ def _met(least: float):
                 b = np.repeat(np.repeat(begin[part] + tests[part] - np.cumsum(trains[part]) + trains[part], trains[part]) + np.arange(len(many)), many)
                 a = np.repeat(np.repeat(begin[part], trains[part]) - np.cumsum(many) + many, many) + np.arange(len(b))
                 fit = _likely(least, tuple(x[a] for x in rows[2:]), tuple(x[b] for x in rows[2:]))
-                yield pd.DataFrame({"a": rows[1][a[fit]], "b": rows[1][b[fit]]})
+                if fit.any():
+                    yield pd.DataFrame({"a": rows[1][a[fit]], "b": rows[1][b[fit]]})
                 few, made = few[upto:], made[upto:] - made[upto - 1]
             goes_on = slice(begin[-1], begin[-1] + tests[-1])
             held = [x[goes_on].copy() for x in rows]
@@ -429,17 +482,17 @@ def _met(least: float):
 
 
 def _alike(least: float):
-    """Verified pairs of rows with the spans of the test text's words that stand in the train text in order."""
+    """Verified pairs of texts with the spans of the test text's words that stand in the train text in order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for a, b, x, y in zip(frame["a_id"], frame["b_id"], frame["words_a"], frame["words_b"]):
+            for a, a_rest, b, b_rest, x, y in zip(frame["a"], frame["a_rest"], frame["b"], frame["b_rest"], frame["words_a"], frame["words_b"]):
                 x, y = x.split(" "), y.split(" ")
                 if similarity(x, y, least) >= least:
                     spans = [(0, len(x))] if x == y else [(m.a, m.a + m.size) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size]
-                    rows.append((a, b, len(x), [{"begin": s, "end": e} for s, e in spans]))
-            yield pd.DataFrame(rows, columns=["a_id", "b_id", "words", "spans"])
+                    rows.append((a, a_rest, b, b_rest, len(x), [{"begin": s, "end": e} for s, e in spans]))
+            yield pd.DataFrame(rows, columns=["a", "a_rest", "b", "b_rest", "words", "spans"])
 
     return run
 
@@ -512,14 +565,21 @@ def pairs(
     """
     sides = [df.select(F.lit(i).alias("side"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")) for i, (df, key) in enumerate(((test, test_id), (train, train_id)))]
     rows = sides[0].unionByName(sides[1]).where("text IS NOT NULL AND id IS NOT NULL")
-    plain = stored(rows.mapInPandas(_normalised, "digest BIGINT, id BIGINT, words STRING").where("words <> ''"), "span-words")
+    plain = stored(rows.mapInPandas(_normalised, "digest BIGINT, rest BIGINT, id BIGINT, words STRING").where("words <> ''"), "span-words")
     found = _matching(plain, least, hot, sample) if exact else _spanning(plain, window, short, crowd, chunk_rows, hot, sample)
     likely = stored(found.distinct(), "span-pairs")  # its size is known from here on, and decides how the words are fetched
-    tests, trains = plain.where("digest & 1 = 0"), plain.where("digest & 1 = 1")
-    mine = tests.select(F.col("digest").alias("a"), F.col("id").alias("a_id"), F.col("words").alias("words_a"))
-    theirs = trains.select(F.col("digest").alias("b"), F.col("id").alias("b_id"), F.col("words").alias("words_b"))
-    same = likely.join(mine, "a").join(theirs, "b").select("a_id", "b_id", "words_a", "words_b")
-    out = same.mapInPandas(_alike(least), "a_id BIGINT, b_id BIGINT, words INT, spans ARRAY<STRUCT<begin: INT, end: INT>>")
+    del found
+    release(plain.sparkSession)  # the files of the keys' shuffle, the largest of all
+
+    def one(side: int, name: str, *columns: str) -> DataFrame:
+        return plain.where(f"digest & 1 = {side}").selectExpr(f"digest AS {name}", f"rest AS {name}_rest", *columns)
+
+    def texts(side: int, name: str) -> DataFrame:
+        return one(side, name, f"words AS words_{name}").join(likely.select(name), name, "left_semi").dropDuplicates([name, f"{name}_rest"])
+
+    proposed = likely.join(texts(0, "a"), "a").join(texts(1, "b"), "b")
+    same = stored(proposed.mapInPandas(_alike(least), "a BIGINT, a_rest BIGINT, b BIGINT, b_rest BIGINT, words INT, spans ARRAY<STRUCT<begin: INT, end: INT>>"), "span-verified")
+    out = same.join(one(0, "a", "id AS a_id"), ["a", "a_rest"]).join(one(1, "b", "id AS b_id"), ["b", "b_rest"])
     return out.select(F.col("a_id").alias(test_id), F.col("b_id").alias(train_id), "words", "spans")
 
 

@@ -1,6 +1,7 @@
 """Cross-split messages and leaked passages, against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -91,6 +92,74 @@ def test_keys_meet_whatever_is_frequent():
             assert len(alike) > 60 and alike <= set(zip(met["a"], met["b"]))
 
 
+def test_keys_of_two_frequent_words_may_be_frequent_too():
+    """Pairs meet whatever keys of one and two words count as frequent, in texts of all sizes."""
+    rng = random.Random(9)
+    bases = [[rng.choice("abcdefghij") for _ in range(rng.randrange(1, 40))] for _ in range(80)]
+    texts = [w for base in bases for w in (base, [w for w in base if rng.random() < 0.88] or base, [x for w in base for x in ([w, rng.choice("yz")] if rng.random() < 0.12 else [w])], base)]
+    frame = pd.DataFrame({"digest": np.arange(len(texts)), "words": [" ".join(t) for t in texts]})
+    numbers = np.sort(np.unique(shared_spans._numbered(frame)[0]))
+    ranks = (numbers, np.array([rng.randrange(50) for _ in numbers]))
+    alike = {(i, j) for i in range(0, len(texts), 2) for j in range(1, len(texts), 2) if shared_spans.similarity(texts[i], texts[j], 0.86) >= 0.86}
+    for share in (0.6, 1.0):
+        hot = []
+        for level in (1, 2):
+            keys = pd.concat(shared_spans._keyed(0.86, ranks, hot, level)(iter([frame])))["key"].unique().view(np.uint64)
+            hot.append(np.array([k for k in keys if rng.random() < share], np.uint64))
+        rows = pd.concat(shared_spans._keyed(0.86, ranks, hot)(iter([frame]))).assign(side=lambda x: x["digest"] & 1).sort_values(["key", "side", "digest"])
+        met = pd.concat(shared_spans._met(0.86)(iter([rows])))
+        assert len(alike) > 100 and alike <= set(zip(met["a"], met["b"]))
+
+
+def test_texts_of_one_template_without_rare_words_are_ruled_out():
+    """Japanese counts by character, and characters repeat: as many words in common as ``least`` asks for go on, not those with as many different ones."""
+    rng = random.Random(11)
+    names = [chr(0x6C00 + i) for i in range(60)]
+    row = lambda: "".join(f"{''.join(rng.sample(names, 5))}から{''.join(rng.sample(names, 5))}へ向かっていますごろに着く予定です" for _ in range(2))
+    texts = [shared_spans.words(row()) for _ in range(200)]
+    frame = pd.DataFrame({"digest": np.arange(200), "words": [" ".join(t) for t in texts]})
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rows = pd.concat(shared_spans._keyed(0.86, none, [])(iter([frame]))).assign(side=lambda x: x["digest"] & 1).sort_values(["key", "side", "digest"])
+    met = set(zip(*pd.concat(shared_spans._met(0.86)(iter([rows])))[["a", "b"]].to_numpy().T))
+    share = {(i, j): 2 * sum((Counter(texts[i]) & Counter(texts[j])).values()) / (len(texts[i]) + len(texts[j])) for i in range(0, 200, 2) for j in range(1, 200, 2)}
+    assert {p for p, s in share.items() if s >= 0.86} <= met
+    assert sum(share[p] < 0.86 for p in met) < 0.1 * len(share)
+
+
+def test_a_group_of_many_test_texts_is_joined_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(shared_spans, "PAIRS", 100)
+    digest = np.concatenate((np.arange(700) * 2, np.arange(9) * 2 + 1))
+    rows = pd.DataFrame({"key": 5, "digest": digest, "size": np.int32(10), "low": 3, "high": 1})
+    sizes = [len(f) for f in shared_spans._met(0.86)(iter([rows]))]
+    assert max(sizes) <= 100 and sum(sizes) == 700 * 9
+
+
+def test_copies_of_texts_are_verified_once(spark):
+    """Forty rows of either split with the same texts make 1,600 pairs of rows, and one pair of texts to verify."""
+    said, heard = "we will meet beside the old water tower after sunset with two fresh batteries", "We will meet beside the old water tower after sunrise with two fresh batteries!"
+    test = spark.createDataFrame([(i, said) for i in range(40)], "test_id BIGINT, text STRING")
+    train = spark.createDataFrame([(i, heard) for i in range(40)], "train_id BIGINT, text STRING")
+    count = spark.sparkContext.accumulator(0)
+    plain = shared_spans._alike
+
+    def counted(least):
+        alike = plain(least)
+
+        def run(frames):
+            for frame in frames:
+                count.add(len(frame))
+                yield from alike(iter([frame]))
+
+        return run
+
+    shared_spans._alike = counted
+    try:
+        got = {tuple(r) for r in shared_spans.overlaps(test, train, "test_id", "train_id").collect()}
+    finally:
+        shared_spans._alike = plain
+    assert got == {(i, j) for i in range(40) for j in range(40)} and count.value == 1
+
+
 def test_a_large_group_is_joined_in_bounded_pieces():
     """Texts that all meet make at most ``PAIRS`` pairs at once, and rows that repeat make none twice."""
     n = 1500
