@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -52,12 +51,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of plans that nothing holds any more; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stream_path(spark: SparkSession, path: str) -> str:
     """``path`` as a file stream takes it: a folder as it is, a single file as a pattern that matches it alone."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
